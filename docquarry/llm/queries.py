@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.words import words
-from docquarry.llm import nearduplicates, repeatedlines
+from docquarry.llm import leakage, nearduplicates, packing, repeatedlines, vocabulary
 from docquarry.llm.sql import SQL
 from docquarry.model.ast import read_tree, text_strings
 from docquarry.runtime import table
@@ -78,3 +78,60 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per page: class of equal sets, linked classes, group of linked pages."""
     groups = nearduplicates.similar_groups(table(spark, d, "stored_pages"), "page_id", "body", body_words, P3_SHINGLE, P3_SIMILARITY)
     return groups.withColumnRenamed("id", "page_id")
+
+
+# Term frequencies ----------------------------------------------------------
+
+
+def _frequencies(spark: SparkSession, d: str) -> DataFrame:
+    bodies = vocabulary.term_frequencies(table(spark, d, "stored_pages"), ["source_id", "path"], "body", body_words)
+    titles = vocabulary.term_frequencies(table(spark, d, "hits"), ["query_id", "hit_rank"], "title", words)
+    both = [vocabulary.marked(f).withColumn("field_name", F.lit(name)) for f, name in ((bodies, "body"), (titles, "title"))]
+    return both[0].unionByName(both[1]).select("field_name", "term", "n_occurrences", "n_records", "mark")
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of bodies and titles in one record only, or in more than a quarter of the records."""
+    return _frequencies(spark, d).where("mark is not null").select("field_name", "term", "mark")
+
+
+@query
+def p4_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    """Every term's occurrences and records."""
+    return _frequencies(spark, d)
+
+
+# Packing -------------------------------------------------------------------
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that alone exceed a container, so were split by the packing."""
+    return packing.pack(table(spark, d, "documents"), "doc_id", "text").where("piece_no = 1").select(F.col("id").alias("doc_id"))
+
+
+@query
+def p8_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Every container with its pieces and tokens."""
+    packed = packing.pack(table(spark, d, "documents"), "doc_id", "text")
+    return packed.groupBy("bin_id").agg(F.count("*").alias("n_pieces"), F.sum("size").alias("n_tokens"))
+
+
+# Leakage -------------------------------------------------------------------
+
+#: Seed, and share of an item that its tiles must cover, of the reordered-passage report.
+P9_LOOSE_SEED, P9_COVERAGE = 6, 0.5
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with at least 12 consecutive words of an item."""
+    return leakage.overlaps(table(spark, d, "documents"), table(spark, d, "eval_items"), seed=12).select("doc_id", "item_id")
+
+
+@query
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Items covered to half or more by tiles of a document, in whatever order."""
+    found = leakage.overlaps(table(spark, d, "documents"), table(spark, d, "eval_items"), seed=P9_LOOSE_SEED)
+    return found.where(F.col("coverage") >= P9_COVERAGE)
