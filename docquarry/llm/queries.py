@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.words import words
-from docquarry.llm import leakage, nearduplicates, packing, repeatedlines, vocabulary
+from docquarry.llm import leakage, nearduplicates, packing, repeatedlines, subjects, vocabulary
 from docquarry.llm.sql import SQL
 from docquarry.model.ast import read_tree, text_strings
 from docquarry.runtime import table
@@ -135,3 +135,22 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Items covered to half or more by tiles of a document, in whatever order."""
     found = leakage.overlaps(table(spark, d, "documents"), table(spark, d, "eval_items"), seed=P9_LOOSE_SEED)
     return found.where(F.col("coverage") >= P9_COVERAGE)
+
+
+# Subjects ------------------------------------------------------------------
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subjects"))
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects each document is about."""
+    return _subjects(spark, d).select(F.col("doc").alias("doc_id"), "subject")
+
+
+@query
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and mean share of topical words of each subject."""
+    return _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("n_documents"), F.round(F.avg("density"), 6).alias("mean_density"))
