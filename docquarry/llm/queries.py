@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.words import words
-from docquarry.llm import leakage, nearduplicates, packing, repeatedlines, subjects, vocabulary
+from docquarry.llm import leakage, nearduplicates, packing, repeatedlines, sitetemplates, subjects, vocabulary
 from docquarry.llm.sql import SQL
 from docquarry.model.ast import read_tree, text_strings
 from docquarry.runtime import table
@@ -154,3 +154,17 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     """Documents and mean share of topical words of each subject."""
     return _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("n_documents"), F.round(F.avg("density"), 6).alias("mean_density"))
+
+
+# Page boilerplate ----------------------------------------------------------
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of each fetched page's main body."""
+    profiles = table(spark, d, "profiles").select("kind", "drop_classes")
+    kinds = table(spark, d, "sources").select(F.col("id").alias("source_id"), "kind").join(profiles, "kind", "left").select("source_id", "drop_classes")
+    place = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    pages = table(spark, d, "raw_pages").join(kinds, "source_id", "left")
+    pages = pages.withColumn("host", F.coalesce(F.nullif(place, F.lit("")), "source_id")).withColumn("address", F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^?#]*)", 1))
+    return sitetemplates.main_lines(pages, "raw_id", "host", "address", "html", "drop_classes").withColumnRenamed("id", "raw_id")
