@@ -38,6 +38,7 @@ MIN_SLOT_PAGES, MIN_COPY_PAGES, MIN_SHARE = 2, 3, 0.05
 
 # Kinds of elements.
 BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li pre th td dt dd".split())
+CELLS = frozenset("td th dt dd".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template svg iframe head object select canvas".split())
 FURNITURE = frozenset("nav aside header footer button form dialog menu".split())
@@ -145,6 +146,10 @@ def segments(text: str | None, drop_classes: frozenset) -> tuple[list[int], list
         return [], []
     page = Page(text)
     tag, up, attrs, content = page.tag, page.up, page.attrs, page.content
+    wraps = set()  # elements around a block
+    for e in range(len(tag) - 1, 0, -1):
+        if tag[e] in BLOCKS or e in wraps:
+            wraps.add(up[e])
     kept_title = set()
     if "h1" in tag:
         e = tag.index("h1")
@@ -177,7 +182,8 @@ def segments(text: str | None, drop_classes: frozenset) -> tuple[list[int], list
             if classes and not own and not drop_classes.isdisjoint(classes):
                 continue
             if not own and t not in INLINE:
-                keys = [_hash(t, *classes, page.text(x)) | 1]
+                # a data cell that repeats is data, not template
+                keys = [] if t in CELLS and x not in wraps else [_hash(t, *classes, page.text(x)) | 1]
                 if classes:
                     keys.append(_hash(t, *classes) & ~1)
                 around = around + [hashes.setdefault(k, len(hashes)) for k in keys]
