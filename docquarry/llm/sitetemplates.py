@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.runtime import cut, maybe_broadcast
+from docquarry.sources.htmltree import VOID, Tree
 
 #: Least pages and least share of a host's pages on which a subtree recurs.
 MIN_SLOT_PAGES, MIN_COPY_PAGES, MIN_SHARE = 2, 3, 0.05
@@ -39,102 +40,12 @@ MIN_SLOT_PAGES, MIN_COPY_PAGES, MIN_SHARE = 2, 3, 0.05
 # Kinds of elements.
 BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li pre th td dt dd".split())
 CELLS = frozenset("td th dt dd".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template svg iframe head object select canvas".split())
+UNREAD = frozenset("script style title textarea noscript template svg iframe head object select canvas".split())
 FURNITURE = frozenset("nav aside header footer button form dialog menu".split())
 INLINE = frozenset("a abbr b bdi bdo cite code dfn em font i kbd label mark q s samp small span strong sub sup time tt u var".split())
-CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dt dd td th tr".split())
-#: An opening tag ends an open element of these names, up to the border.
-IMPLIED_ENDS = {
-    "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "table"])),
-    "dt": (frozenset(["dt", "dd"]), frozenset(["dl", "table"])),
-    "dd": (frozenset(["dt", "dd"]), frozenset(["dl", "table"])),
-    "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])),
-    "tbody": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th"]), frozenset(["table"])),
-    "tfoot": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th"]), frozenset(["table"])),
-}
-_P_BORDER = frozenset(["td", "th", "table", "button", "div", "li", "blockquote", "section", "article", "main", "aside", "dd", "body"])
-
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CONCEALED = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
-class Page:
-    """Elements of a page in document order: tag, parent, attributes, content."""
-
-    def __init__(self, text: str) -> None:
-        self.tag, self.up, self.attrs, self.content = ["#root"], [-1], [{}], [[]]
-        self._read(text)
-
-    def _end(self, stack: list[int], names: frozenset, border: frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            t = self.tag[stack[i]]
-            if t in names:
-                del stack[i:]
-                return
-            if t in border:
-                return
-
-    def _read(self, text: str) -> None:
-        stack, at, n = [0], 0, len(text)
-        tag, content = self.tag, self.content
-        while at < n:
-            m = _MARKUP.search(text, at)
-            if not m:
-                content[stack[-1]].append(text[at:])
-                break
-            if m.start() > at:
-                content[stack[-1]].append(text[at : m.start()])
-            at = m.end()
-            name = m[2]
-            if not name:
-                continue
-            name = name.lower()
-            if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    t = tag[stack[i]]
-                    if t == name:
-                        del stack[i:]
-                        break
-                    if t in ("td", "th", "table") and name not in ("td", "th", "tr", "tbody", "thead", "tfoot", "table", "body", "html"):
-                        break
-                continue
-            if name in CLOSES_P:
-                self._end(stack, frozenset(["p"]), _P_BORDER)
-            ends = IMPLIED_ENDS.get(name)
-            if ends:
-                self._end(stack, *ends)
-                if name == "tr":
-                    self._end(stack, frozenset(["tr"]), frozenset(["table"]))
-            me = len(tag)
-            content[stack[-1]].append(me)
-            tag.append(name)
-            self.up.append(stack[-1])
-            raw = m[3]
-            self.attrs.append({k.lower(): htmllib.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(raw)} if raw and not raw.isspace() else {})
-            content.append([])
-            if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(text, at)
-                at = end.end() if end else (at if name == "head" else n)
-            elif name not in VOID:
-                stack.append(me)
-
-    def text(self, e: int) -> str:
-        """Text of a subtree, markup ignored, with white space collapsed."""
-        out, todo = [], [e]
-        while todo:
-            x = todo.pop()
-            if isinstance(x, str):
-                out.append(x)
-            else:
-                out.append(" ")
-                todo.extend(reversed(self.content[x]))
-        return " ".join("".join(out).split())
-
-
 def _hash(*parts: str) -> int:
     return (xxhash.xxh3_64_intdigest("\x00".join(parts)) ^ (1 << 63)) - (1 << 63)
 
@@ -144,7 +55,7 @@ def segments(text: str | None, drop_classes: frozenset) -> tuple[list[int], list
     segments: (block, enclosing block or -1, text, indexes of the hashes around it)."""
     if not text:
         return [], []
-    page = Page(text)
+    page = Tree(text)
     tag, up, attrs, content = page.tag, page.up, page.attrs, page.content
     wraps = set()  # elements around a block
     for e in range(len(tag) - 1, 0, -1):
@@ -174,7 +85,7 @@ def segments(text: str | None, drop_classes: frozenset) -> tuple[list[int], list
                 if block >= 0:
                     out.append((block, parent_block[block], " ", around))
                 continue
-            if t in RAW or t in VOID:
+            if t in UNREAD or t in VOID:
                 continue
             if not own and (t in FURNITURE or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or ("style" in a and _CONCEALED.search(a["style"]))):
                 continue
@@ -183,7 +94,7 @@ def segments(text: str | None, drop_classes: frozenset) -> tuple[list[int], list
                 continue
             if not own and t not in INLINE:
                 # a data cell that repeats is data, not template
-                keys = [] if t in CELLS and x not in wraps else [_hash(t, *classes, page.text(x)) | 1]
+                keys = [] if t in CELLS and x not in wraps else [_hash(t, *classes, " ".join(page.text(x, " ").split())) | 1]
                 if classes:
                     keys.append(_hash(t, *classes) & ~1)
                 around = around + [hashes.setdefault(k, len(hashes)) for k in keys]
