@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 QUESTION_WORDS = "how what when where which who whom why do does did doing can could should would shall will may might must".split()
@@ -138,7 +139,7 @@ def osa_distance(a: str, b: str, limit: int) -> int | None:
     return old[-1] if old[-1] <= limit else None
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def osa_distance_udf(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa_distance(x, y, int(n)) for x, y, n in zip(a, b, limit)], dtype="Int32")
 
@@ -148,6 +149,6 @@ def byte_truncate(text: str, limit: int) -> str:
     return text.encode()[:limit].decode(errors="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def byte_truncate_udf(text: pd.Series, limit: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else byte_truncate(t, int(n)) for t, n in zip(text, limit)])

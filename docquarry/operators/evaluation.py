@@ -54,7 +54,7 @@ def gate(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def confusion(df: DataFrame, expected: str, predicted: str, labels: Sequence[str]) -> DataFrame:
     """Rows by expected label, a column of counts per predicted one."""
-    return df.groupBy(expected).pivot(predicted, list(labels)).agg(F.count("*")).na.fill(0)
+    return df.groupBy(expected).pivot(predicted, list(labels)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def accuracy(df: DataFrame, expected: str, predicted: str, confidence: str, sure: float) -> DataFrame:

@@ -32,6 +32,14 @@ class Index:
     lengths: DataFrame
     stats: DataFrame
     docs: DataFrame
+    places: DataFrame | None = None
+
+    def lookup(self, terms: DataFrame) -> DataFrame:
+        """Postings of the distinct (field, term) rows of ``terms``. In an index that isn't
+        stored only the tokens asked for are grouped."""
+        if self.places is None:
+            return self.postings.join(terms, ["field", "term"])
+        return _grouped(self.places.join(terms, ["field", "term"]), self.key)
 
     def save(self, path: str) -> None:
         """Write all tables, replacing older ones."""
@@ -44,6 +52,10 @@ class Index:
         return Index(tuple(key), *(spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "stats", "docs")))
 
 
+def _grouped(places: DataFrame, key: Sequence[str]) -> DataFrame:
+    return places.groupBy("field", "term", *key).agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
 def placed_tokens(text: Column) -> Column:
     """Default tokens of one text as (token, pos, len)."""
     return F.transform(default_tokens(text), lambda t, i: F.struct(t.alias("token"), i.alias("pos"), F.lit(1).alias("len")))
@@ -62,10 +74,9 @@ def build(df: DataFrame, key: Sequence[str], fields: dict[str, Column], stored:
     rows = df.select(*key, per_field).select(*key, "f.field", "f.tokens")
     lengths = rows.select("field", *key, F.size("tokens").alias("len"))
     places = rows.select("field", *key, F.explode("tokens").alias("t")).select("field", *key, F.col("t.token").alias("term"), F.col("t.pos").alias("pos"))
-    postings = places.groupBy("field", "term", *key).agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     stats = lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     docs = df.select(*key, F.size(F.coalesce(fields.get(body, empty), empty)).alias("body_len"), *[c.alias(n) for n, c in (stored or {}).items()])
-    return Index(tuple(key), postings, lengths, stats, docs)
+    return Index(tuple(key), _grouped(places, key), lengths, stats, docs, places)
 
 
 def build_pages(pages: DataFrame) -> Index:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.text import MAX_TERM_CHARS, FUNCTION_WORDS, QUESTION_WORDS, allowed_distance, code_tokens, default_tokens, drop_stopwords, forced_symbols, osa_distance_udf, plain_text_query
 from docquarry.operators.index import CODE_FIELDS, DICTIONARY_FIELDS, Index
-from docquarry.runtime import maybe_broadcast
+from docquarry.runtime import cut, maybe_broadcast
 
 #: Constants of BM25.
 K1, B = 1.2, 0.75
@@ -77,53 +77,52 @@ def phrases(queries: DataFrame, ranking: Ranking = TUNED) -> DataFrame:
     return cut.select("query_id", "phrase", "terms", fields).select("query_id", "phrase", F.size("terms").alias("size"), "f.field", "f.weight", F.posexplode("terms").alias("slot", "term"))
 
 
-def _doc_freq(index: Index, terms: DataFrame) -> DataFrame:
-    """(field, term, df) of the asked terms."""
-    asked = maybe_broadcast(terms.select("field", "term").distinct())
-    return index.postings.join(asked, ["field", "term"]).groupBy("field", "term").agg(F.count("*").alias("df"))
+def matched(index: Index, terms: DataFrame) -> DataFrame:
+    """The postings of all terms asked for, read once and kept on shared storage."""
+    return cut(index.lookup(maybe_broadcast(terms.select("field", "term").distinct())))
+
+
+def _with_idf(index: Index, terms: DataFrame, found: DataFrame) -> DataFrame:
+    """``terms`` that stand somewhere, with their idf."""
+    freq = found.groupBy("field", "term").agg(F.count("*").alias("df")).join(F.broadcast(index.stats.select("field", "n_docs")), "field")  # stats: one row per field
+    return terms.join(freq, ["field", "term"]).withColumn("own_idf", idf(F.col("n_docs"), F.col("df"))).drop("n_docs", "df")
 
 
 def _scored(index: Index, hits: DataFrame) -> DataFrame:
     """(query_id, key..., score) of hits (query_id, field, key..., tf, weight, term_idf)."""
-    with_len = hits.join(index.lengths, ["field", *index.key]).join(F.broadcast(index.stats.select("field", "avg_len")), "field")  # one row per field
+    with_len = hits.join(index.lengths, ["field", *index.key]).join(F.broadcast(index.stats.select("field", "avg_len")), "field")
     part = F.col("weight") * F.col("term_idf") * bm25(F.col("tf"), F.col("len"), F.greatest("avg_len", F.lit(1e-9)))
     return with_len.groupBy("query_id", *index.key).agg(F.sum(part).alias("score"))
 
 
-def term_scores(index: Index, terms: DataFrame) -> DataFrame:
-    freq = _doc_freq(index, terms).join(F.broadcast(index.stats.select("field", "n_docs")), "field")
-    weighted = terms.join(freq, ["field", "term"]).select("query_id", "field", "term", "weight", idf(F.col("n_docs"), F.col("df")).alias("term_idf"))
-    hits = index.postings.select("field", "term", *index.key, "tf").join(maybe_broadcast(weighted), ["field", "term"])
-    return _scored(index, hits)
+def term_scores(index: Index, terms: DataFrame, found: DataFrame) -> DataFrame:
+    """Scores of single terms over their ``matched`` postings."""
+    weighted = maybe_broadcast(cut(_with_idf(index, terms, found).withColumnRenamed("own_idf", "term_idf")))
+    return _scored(index, found.drop("positions").join(weighted, ["field", "term"]))
 
 
-def phrase_scores(index: Index, asked: DataFrame) -> DataFrame:
+def phrase_scores(index: Index, asked: DataFrame, found: DataFrame) -> DataFrame:
     """A phrase counts where its terms stand at consecutive positions; its idf is the sum of theirs."""
-    freq = _doc_freq(index, asked).join(F.broadcast(index.stats.select("field", "n_docs")), "field")
-    weighted = asked.join(freq, ["field", "term"]).withColumn("own_idf", idf(F.col("n_docs"), F.col("df")))
-    met = index.postings.select("field", "term", *index.key, "positions").join(maybe_broadcast(weighted), ["field", "term"])
+    met = found.join(maybe_broadcast(cut(_with_idf(index, asked, found))), ["field", "term"])
     starts = F.transform("positions", lambda p: p - F.col("slot"))
     whole = met.groupBy("query_id", "phrase", "field", *index.key).agg(F.collect_list(starts).alias("starts"), F.first("size").alias("size"), F.first("weight").alias("weight"), F.sum("own_idf").alias("term_idf")).where(F.size("starts") == F.col("size"))
     count = F.size(F.aggregate(F.slice("starts", 2, 2**20), F.col("starts")[0], lambda a, b: F.array_intersect(a, b)))
     return _scored(index, whole.withColumn("tf", count).where("tf > 0"))
 
 
-def unknown_terms(index: Index, terms: DataFrame, ranking: Ranking = TUNED) -> DataFrame:
-    """(query_id, term) of query terms that stand in no searched field."""
-    searched = [f for f, b in ranking.boosts.items() if b]
+def unknown_terms(terms: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, term) of dictionary-like query terms without any posting."""
     asked = terms.where(F.col("field").isin(*DICTIONARY_FIELDS) & (F.length("term") <= MAX_TERM_CHARS)).select("query_id", "term").distinct()
-    known = index.postings.where(F.col("field").isin(*searched)).select("term").join(maybe_broadcast(asked.select("term").distinct()), "term", "left_semi").distinct()
-    return asked.join(known, "term", "left_anti")
+    return asked.join(found.select("term").distinct(), "term", "left_anti")
 
 
-def corrections(index: Index, terms: DataFrame, ranking: Ranking = TUNED) -> DataFrame:
+def corrections(index: Index, unknown: DataFrame, max_distance: int = TUNED.max_distance) -> DataFrame:
     """(query_id, typed, meant): for each unknown term the dictionary word with the same
     first three characters that is nearest, then most frequent, then first."""
-    if not ranking.max_distance:
-        return terms.select("query_id", F.col("term").alias("typed"), F.col("term").alias("meant")).where("false")
-    typed = unknown_terms(index, terms, ranking).select("query_id", F.col("term").alias("typed"), F.substring("term", 1, PREFIX_CHARS).alias("prefix"), allowed_distance("term", ranking.max_distance).alias("limit")).where("limit > 0")
-    words = index.postings.where(F.col("field").isin(*DICTIONARY_FIELDS)).withColumn("prefix", F.substring("term", 1, PREFIX_CHARS))
-    near = words.join(maybe_broadcast(typed.select("prefix").distinct()), "prefix", "left_semi").groupBy("prefix", "term").agg(F.count("*").alias("df"))
+    typed = unknown.select("query_id", F.col("term").alias("typed"), F.substring("term", 1, PREFIX_CHARS).alias("prefix"), allowed_distance("term", max_distance).alias("limit")).where("limit > 0")
+    places = index.postings.select("field", "term", *index.key) if index.places is None else index.places.select("field", "term", *index.key)
+    words = places.where(F.col("field").isin(*DICTIONARY_FIELDS)).withColumn("prefix", F.substring("term", 1, PREFIX_CHARS))
+    near = words.join(maybe_broadcast(typed.select("prefix").distinct()), "prefix", "left_semi").distinct().groupBy("prefix", "term").agg(F.count("*").alias("df"))
     pairs = near.join(maybe_broadcast(typed), "prefix").where(F.abs(F.length("term") - F.length("typed")) <= F.col("limit"))
     measured = pairs.withColumn("distance", osa_distance_udf("term", "typed", "limit")).where("distance is not null")
     first = F.row_number().over(W.partitionBy("query_id", "typed").orderBy("distance", F.desc("df"), "term"))
@@ -143,12 +142,14 @@ def search(index: Index, queries: DataFrame, limit: int = 10, ranking: Ranking =
     scoped search is never short of hits. Statistics stay those of the whole index.
     Ties are broken by the key. Null and empty queries have no hits.
     """
-    terms = query_terms(queries, ranking)
-    scores = term_scores(index, terms).unionByName(phrase_scores(index, phrases(queries, ranking)))
-    if ranking.corrected and ranking.max_distance:
-        fixed = corrections(index, terms, ranking)
-        meant = terms.join(fixed.withColumnRenamed("typed", "term"), ["query_id", "term"]).select("query_id", "field", F.col("meant").alias("term"), (F.col("weight") * ranking.corrected).alias("weight"))
-        scores = scores.unionByName(term_scores(index, meant))
+    terms, said = cut(query_terms(queries, ranking)), phrases(queries, ranking)
+    found = matched(index, terms.select("field", "term").unionByName(said.select("field", "term")))
+    scores = term_scores(index, terms, found).unionByName(phrase_scores(index, said, found)) if said.take(1) else term_scores(index, terms, found)
+    unknown = unknown_terms(terms, found) if ranking.corrected and ranking.max_distance else None
+    if unknown is not None and unknown.take(1):
+        fixed = corrections(index, unknown, ranking.max_distance).withColumnRenamed("typed", "term")
+        meant = cut(terms.join(fixed, ["query_id", "term"]).select("query_id", "field", F.col("meant").alias("term"), (F.col("weight") * ranking.corrected).alias("weight")))
+        scores = scores.unionByName(term_scores(index, meant, matched(index, meant)))
     docs = index.docs if scope is None else index.docs.where(scope)
     size = F.col("body_chars" if "body_chars" in docs.columns else "body_len")
     total = scores.groupBy("query_id", *index.key).agg(F.sum("score").alias("score")).join(docs, list(index.key))
@@ -159,7 +160,8 @@ def search(index: Index, queries: DataFrame, limit: int = 10, ranking: Ranking =
 
 def total_hits(index: Index, queries: DataFrame, cap: int = 1000, ranking: Ranking = TUNED) -> DataFrame:
     """(query_id, total, total_capped): hits of each query, counted up to ``cap``."""
-    n = term_scores(index, query_terms(queries, ranking)).groupBy("query_id").agg(F.count("*").alias("n"))
+    terms = cut(query_terms(queries, ranking))
+    n = term_scores(index, terms, matched(index, terms)).groupBy("query_id").agg(F.count("*").alias("n"))
     return n.select("query_id", F.least("n", F.lit(cap)).alias("total"), (F.col("n") >= cap).alias("total_capped"))
 
 

@@ -82,8 +82,8 @@ def pull(old: DataFrame, fetched: DataFrame, outcome: CrawlOutcome, kinds: DataF
 
 def index_of(pages: DataFrame) -> Index:
     """The index of stored pages; unreadable bodies aren't in it."""
-    fields = page_fields(pages, {"source_id": "string", "path": "string", "title": "string", "content_hash": "string"})
-    return build_pages(fields)
+    stored = {c: "string" for c in ("source_id", "path", "title", "content_hash") if c in pages.columns}
+    return build_pages(page_fields(pages, stored))
 
 
 def sync_states(sources: DataFrame, trigger: str, now: Column) -> DataFrame:

@@ -26,7 +26,8 @@ class Library:
     def suggest(self, text: str) -> DataFrame:
         """(typed, meant) for words that stand nowhere."""
         asked = self.spark.createDataFrame([(0, text)], "query_id long, q string")
-        return ranked.corrections(self.index, ranked.query_terms(asked)).select("typed", "meant")
+        terms = ranked.query_terms(asked)
+        return ranked.corrections(self.index, ranked.unknown_terms(terms, ranked.matched(self.index, terms))).select("typed", "meant")
 
     def lookup_symbol(self, name: str, source: str | None = None) -> DataFrame:
         return self.search("@" + name.lstrip("@"), 10, source)
@@ -35,7 +36,7 @@ class Library:
         """The pieces of the hits' snippets, marked by the query's own and corrected terms."""
         asked = self.spark.createDataFrame([(0, text)], "query_id long, q string")
         terms = ranked.query_terms(asked)
-        marks = ranked.highlight_terms(terms, ranked.corrections(self.index, terms))
+        marks = ranked.highlight_terms(terms, ranked.corrections(self.index, ranked.unknown_terms(terms, ranked.matched(self.index, terms))))
         hits = ranked.search(self.index, asked, limit).join(marks, "query_id").join(self.stored.select("source_id", "path", "body"), ["source_id", "path"])
         return page_ops.snippets(hits, {"hit_rank": "int", "source_id": "string", "path": "string"}, "terms")
 

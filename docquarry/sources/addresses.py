@@ -6,6 +6,7 @@ import ipaddress
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Address ranges.
 V4_FORBIDDEN = "0.0.0.0/8 169.254.0.0/16 255.255.255.255/32 224.0.0.0/4 192.0.2.0/24 198.51.100.0/24 203.0.113.0/24 192.0.0.0/24 198.18.0.0/15 240.0.0.0/4"
@@ -53,6 +54,6 @@ def allowed(text: str, allow_private: bool = False) -> bool:
     return kind == "public" or (allow_private and kind == "private")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def classify_udf(c: pd.Series) -> pd.Series:
     return c.map(lambda x: None if x is None else classify(x))
