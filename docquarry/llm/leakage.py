@@ -19,6 +19,7 @@ with the greatest coverage.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,36 +60,44 @@ class Rolling:
             return (self.sums[k:] - self.sums[:n]) * self.back[:n]
 
 
-def tiles(doc: list[str], item: list[str], starts: np.ndarray, item_windows: dict[int, list[int]], doc_windows: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
-    """(doc position, item position, length) of the tiles, longest first.
+def _matches(doc: np.ndarray, item: np.ndarray, starts: np.ndarray, seeds: np.ndarray, item_seeds: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
+    """(length, doc position, item position) of all maximal matches of word hashes.
+
+    ``seeds`` are the document's windows at ``starts``. A match is taken up only where it
+    begins, so repeated words give one match per diagonal and not one per position."""
+    out = []
+    for j, h in enumerate(item_seeds):
+        at = starts[seeds == h]
+        if j and len(at):
+            at = at[(at == 0) | (doc[at - 1] != item[j - 1])]
+        for i in at.tolist():
+            n = min(len(doc) - i, len(item) - j)
+            differ = doc[i : i + n] != item[j : j + n]
+            k = int(differ.argmax())
+            length = k if differ[k] else n
+            if length >= seed:
+                out.append((length, i, j))
+    return out
 
-    ``starts``: document positions whose window is a seed of some item.
-    """
-    runs: dict[int, list[list[int]]] = {}
-    for i in starts.tolist():
-        for j in item_windows.get(int(doc_windows[i]), ()):
-            if doc[i : i + seed] != item[j : j + seed]:
-                continue
-            own = runs.setdefault(i - j, [])
-            if own and own[-1][1] == i - 1:
-                own[-1][1] = i
-            else:
-                own.append([i, i])
-    matches = sorted(((b - a + seed, a, a - diagonal) for diagonal, own in runs.items() for a, b in own), key=lambda m: (-m[0], m[1], m[2]))
-    out, in_doc, in_item = [], set(), set()
-    while matches:
-        length, i, j = matches.pop(0)
-        free = [k for k in range(length) if i + k not in in_doc and j + k not in in_item]
-        if len(free) == length:
-            out.append((i, j, length))
-            in_doc.update(range(i, i + length))
-            in_item.update(range(j, j + length))
-            continue
-        # what is left of the match between marked words competes again
-        left = np.split(np.array(free, np.int64), np.flatnonzero(np.diff(free) != 1) + 1) if free else []
-        again = [(len(p), i + int(p[0]), j + int(p[0])) for p in left if len(p) >= seed]
-        if again:
-            matches = sorted(matches + again, key=lambda m: (-m[0], m[1], m[2]))
+
+def tiles(doc: np.ndarray, item: np.ndarray, starts: np.ndarray, seeds: np.ndarray, item_seeds: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
+    """(doc position, item position, length) of the tiles, longest first."""
+    waiting = [(-n, i, j) for n, i, j in _matches(doc, item, starts, seeds, item_seeds, seed)]
+    heapq.heapify(waiting)
+    out: list[tuple[int, int, int]] = []
+    in_doc, in_item = set(), np.zeros(len(item), np.bool_)
+    while waiting and not in_item.all():
+        n, i, j = heapq.heappop(waiting)
+        free = [k for k in range(-n) if not in_item[j + k] and i + k not in in_doc]
+        if len(free) == -n:
+            out.append((i, j, -n))
+            in_doc.update(range(i, i - n))
+            in_item[j : j - n] = True
+        elif len(free) >= seed:
+            # what is left of the match between marked words competes again
+            for part in np.split(np.array(free), np.flatnonzero(np.diff(free) != 1) + 1):
+                if len(part) >= seed:
+                    heapq.heappush(waiting, (-len(part), i + int(part[0]), j + int(part[0])))
     return out
 
 
@@ -101,12 +110,11 @@ class Items:
             w = words(text)
             if len(w) < seed:
                 continue
-            own: dict[int, list[int]] = {}
-            for j, h in enumerate(Rolling(word_hashes(w)).windows(seed).tolist()):
-                own.setdefault(h, []).append(j)
-            for h in own:
+            hashes = word_hashes(w)
+            own = Rolling(hashes).windows(seed)
+            for h in set(own.tolist()):
                 self.by_window.setdefault(h, []).append(len(self.items))
-            self.items.append((item_id, w, own))
+            self.items.append((item_id, w, hashes, own))
         self.seeds = np.sort(np.array(list(self.by_window), np.uint64))
 
     def compare(self, text: str | None) -> list[tuple[int, int, int, float, int]]:
@@ -114,16 +122,20 @@ class Items:
         w = words(text)
         if len(w) < self.seed or not len(self.seeds):
             return []
-        windows = Rolling(word_hashes(w)).windows(self.seed)
+        hashes = word_hashes(w)
+        windows = Rolling(hashes).windows(self.seed)
         at = np.minimum(np.searchsorted(self.seeds, windows), len(self.seeds) - 1)
         starts = np.flatnonzero(self.seeds[at] == windows)
         if not len(starts):
             return []
-        met = sorted({n for h in set(windows[starts].tolist()) for n in self.by_window[h]})
+        seeds = windows[starts]
+        met = sorted({n for h in set(seeds.tolist()) for n in self.by_window[h]})
         out = []
         for n in met:
-            item_id, words_of, own = self.items[n]
-            found = tiles(w, words_of, starts, own, windows, self.seed)
+            item_id, words_of, item_hashes, own = self.items[n]
+            found = tiles(hashes, item_hashes, starts, seeds, own, self.seed)
+            # the hashes found them, the words decide
+            found = [t for t in found if w[t[0] : t[0] + t[2]] == words_of[t[1] : t[1] + t[2]]]
             if found:
                 covered = sum(t[2] for t in found)
                 out.append((item_id, len(found), covered, covered / len(words_of), found[0][2]))
