@@ -97,13 +97,13 @@ def _scored(index: Index, hits: DataFrame) -> DataFrame:
 
 def term_scores(index: Index, terms: DataFrame, found: DataFrame) -> DataFrame:
     """Scores of single terms over their ``matched`` postings."""
-    weighted = maybe_broadcast(cut(_with_idf(index, terms, found).withColumnRenamed("own_idf", "term_idf")))
+    weighted = _with_idf(index, terms, found).withColumnRenamed("own_idf", "term_idf")
     return _scored(index, found.drop("positions").join(weighted, ["field", "term"]))
 
 
 def phrase_scores(index: Index, asked: DataFrame, found: DataFrame) -> DataFrame:
     """A phrase counts where its terms stand at consecutive positions; its idf is the sum of theirs."""
-    met = found.join(maybe_broadcast(cut(_with_idf(index, asked, found))), ["field", "term"])
+    met = found.join(_with_idf(index, asked, found), ["field", "term"])
     starts = F.transform("positions", lambda p: p - F.col("slot"))
     whole = met.groupBy("query_id", "phrase", "field", *index.key).agg(F.collect_list(starts).alias("starts"), F.first("size").alias("size"), F.first("weight").alias("weight"), F.sum("own_idf").alias("term_idf")).where(F.size("starts") == F.col("size"))
     count = F.size(F.aggregate(F.slice("starts", 2, 2**20), F.col("starts")[0], lambda a, b: F.array_intersect(a, b)))
