@@ -33,23 +33,25 @@ def latest_rows(df: DataFrame, by: Sequence[str], time: str, fields: Sequence[st
 def snapshot_changes(df: DataFrame, snapshot: str, key: Sequence[str], fields: Sequence[str], time: str) -> DataFrame:
     """Columns: ``snapshot``, ``key``..., ``change_kind`` (added, removed, changed) and
     ``changed_fields`` (sorted; empty unless changed)."""
-    rows = latest_rows(df.select(snapshot, *key, time, *fields), [snapshot, *key], time, fields)
+    keys, cols = [f"__k{i}" for i in range(len(key))], [f"__f{i}" for i in range(len(fields))]
+    named = df.select(F.col(snapshot).alias("__s"), *[F.col(k).alias(n) for k, n in zip(key, keys)], F.col(time).alias("__t"), *[F.col(f).alias(n) for f, n in zip(fields, cols)])
+    rows = latest_rows(named, ["__s", *keys], "__t", cols)
     # One row per delivery: tiny by nature, and joined without a hint.
-    numbers = df.select(F.col(snapshot).alias("__s")).distinct()
-    order = W.orderBy("__s")
-    steps = numbers.select("__s", F.lag("__s").over(order).alias("__before"), F.lead("__s").over(order).alias("__next"))
+    order = W.orderBy("__at")
+    steps = named.select(F.col("__s").alias("__at")).distinct().select("__at", F.lag("__at").over(order).alias("__before"), F.lead("__at").over(order).alias("__next"))
     signed = F.filter(
         F.array(
-            F.struct(F.when(F.col("__before").isNotNull(), F.col(snapshot)).alias("into"), F.lit(1).alias("sign")),
+            F.struct(F.when(F.col("__before").isNotNull(), F.col("__s")).alias("into"), F.lit(1).alias("sign")),
             F.struct(F.col("__next").alias("into"), F.lit(-1).alias("sign")),
         ),
         lambda c: c["into"].isNotNull(),
     )
-    cells = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value")), *[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
-    met = rows.join(steps, F.col(snapshot) == F.col("__s")).repartition(*key)
-    unpivoted = met.select(*key, F.explode(signed).alias("m"), cells.alias("cells")).select(*key, "m.into", "m.sign", F.explode("cells").alias("c"))
-    sums = unpivoted.groupBy(*key, "into", F.col("c.field").alias("field"), F.col("c.value").alias("value")).agg(F.sum("sign").alias("total")).where("total <> 0")
-    present: Column = F.sum(F.when(F.col("field").isNull(), F.col("total")))
-    named = sums.groupBy(*key, "into").agg(present.alias("p"), F.array_sort(F.collect_set("field")).alias("named"))
-    kind = F.when(F.col("p") > 0, "added").when(F.col("p") < 0, "removed").otherwise("changed")
-    return named.select(F.col("into").alias(snapshot), *key, kind.alias("change_kind"), F.when(F.col("p").isNull(), F.col("named")).otherwise(F.array().cast("array<string>")).alias("changed_fields"))
+    cells = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value")), *[F.struct(F.lit(f).alias("field"), F.col(n).cast("string").alias("value")) for f, n in zip(fields, cols)])
+    met = rows.join(steps, F.col("__s") == F.col("__at")).repartition(*keys)
+    unpivoted = met.select(*keys, F.explode(signed).alias("m"), cells.alias("cells")).select(*keys, F.col("m.into").alias("__into"), F.col("m.sign").alias("__sign"), F.explode("cells").alias("c"))
+    sums = unpivoted.groupBy(*keys, "__into", F.col("c.field").alias("__field"), F.col("c.value").alias("__value")).agg(F.sum("__sign").alias("__total")).where("__total <> 0")
+    present: Column = F.sum(F.when(F.col("__field").isNull(), F.col("__total")))
+    found = sums.groupBy(*keys, "__into").agg(present.alias("__p"), F.array_sort(F.collect_set("__field")).alias("__named"))
+    kind = F.when(F.col("__p") > 0, "added").when(F.col("__p") < 0, "removed").otherwise("changed")
+    changed = F.when(F.col("__p").isNull(), F.col("__named")).otherwise(F.array().cast("array<string>"))
+    return found.select(F.col("__into").alias(snapshot), *[F.col(n).alias(k) for n, k in zip(keys, key)], kind.alias("change_kind"), changed.alias("changed_fields"))
