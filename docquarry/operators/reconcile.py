@@ -59,7 +59,7 @@ def prune_missing(pages: DataFrame, held: DataFrame, outcome: CrawlOutcome, key:
 
 
 def missing(pages: DataFrame, held: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Pages that the crawl no longer produced."""
+    """Pages that the crawl no longer produced. A page with a null key is never held."""
     return pages.join(held.select(*key).distinct(), list(key), "left_anti")
 
 

@@ -41,7 +41,7 @@ class Library:
         return page_ops.snippets(hits, {"hit_rank": "int", "source_id": "string", "path": "string"}, "terms")
 
     def list_sources(self, category: str | None = None) -> DataFrame:
-        return catalog.sources_with_counts(catalog.list_sources(self.sources, category), self.stored).orderBy("name", "id")
+        return catalog.list_sources(catalog.sources_with_counts(self.sources, self.stored), category)
 
     def pages(self, source_id: str, offset: int = 0, limit: int = catalog.PAGE_ROWS) -> DataFrame:
         return catalog.paged(self.stored.where(F.col("source_id") == source_id), offset, limit)
