@@ -78,7 +78,7 @@ class Tree:
             if t in names:
                 self._close(i, True)
                 return
-            if t in border:
+            if t in border or t == "template":
                 return
 
     def _end_tag(self, name: str) -> None:
@@ -91,7 +91,7 @@ class Tree:
             if t == name:
                 self._close(i, name not in FORMATTING)
                 return
-            if (t in _CELLS or t == "table") and name not in _TABLE_PARTS:
+            if t == "template" or ((t in _CELLS or t == "table") and name not in _TABLE_PARTS):
                 return
 
     def _build(self, text: str) -> None:
