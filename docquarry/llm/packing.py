@@ -160,7 +160,7 @@ def pack(df: DataFrame, id_col: str, text: str, capacity: int = CAPACITY, tokeni
     parts = first.rdd.getNumPartitions()
     renamed = None
     while True:
-        parts = -(-parts // FAN_IN)
+        parts = max(1, -(-parts // FAN_IN))
         step = cut(bins.repartition(parts, "bin_id").mapInArrow(again, "bin_id long, new_id long, fill int, open boolean"))
         moves = step.select("bin_id", "new_id")
         if renamed is None:
