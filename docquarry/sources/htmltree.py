@@ -13,7 +13,6 @@ import re
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TEXT = frozenset("script style title textarea iframe noscript".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 HEAD_ONLY = frozenset("base link meta noscript script style template title".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dt dd td th tr".split())
@@ -35,23 +34,50 @@ IMPLIED_ENDS = {
 _P = frozenset(["p"])
 _P_BORDER = frozenset("td th table button div li blockquote section article main aside dd body".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_MARKUP = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(?P<raw>script|style|title|textarea|iframe|noscript)(?P<rattrs>(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(?P<text>.*?)(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<[!?][^>]*>",
+    re.S | re.I,
+)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
+_NONE: dict[str, str] = {}
+
+
+class _Attributes(list):
+    """Attributes of the elements, read when they are asked for."""
+
+    def __getitem__(self, e: int) -> dict[str, str]:
+        own = list.__getitem__(self, e)
+        if type(own) is str:
+            own = {}
+            for k, a, b, c in _ATTRIBUTE.findall(list.__getitem__(self, e)):
+                own.setdefault(k.lower(), htmllib.unescape(a or b or c))
+            self[e] = own
+        return own
+
+    def naming(self, e: int, names: re.Pattern) -> dict[str, str]:
+        """The attributes if ``names`` occurs in their text, else none."""
+        own = list.__getitem__(self, e)
+        return self[e] if type(own) is not str or names.search(own) else _NONE
+
+
 class Tree:
     """Parallel lists ``tag``, ``up``, ``attrs`` and ``content``; element 0 is the root."""
 
     def __init__(self, text: str) -> None:
         self.tag: list[str] = ["#root"]
         self.up: list[int] = [-1]
-        self.attrs: list[dict[str, str]] = [{}]
+        self.attrs = _Attributes([_NONE])
         self.content: list[list] = [[]]
         self._stack = [0]
         self._reopen: list[int] = []
         self._build(text)
 
-    def _open(self, name: str, attrs: dict[str, str]) -> int:
+    def _open(self, name: str, attrs: dict[str, str] | str) -> int:
         me, top = len(self.tag), self._stack[-1]
         self.content[top].append(me)
         self.tag.append(name)
@@ -95,24 +121,23 @@ class Tree:
                 return
 
     def _build(self, text: str) -> None:
-        at, n, tag, content, stack = 0, len(text), self.tag, self.content, self._stack
-        while at < n:
-            m = _MARKUP.search(text, at)
-            stop = m.start() if m else n
-            if stop > at:
-                piece = text[at:stop]
-                if self._reopen and not piece.isspace():
-                    self._restore()
-                content[stack[-1]].append(piece)
-            if not m:
-                break
+        at, tag, content, stack = 0, self.tag, self.content, self._stack
+        for m in _MARKUP.finditer(text):
+            start = m.start()
+            if start > at:
+                self._piece(text[at:start])
             at = m.end()
-            name = m[2]
-            if not name:
+            raw, raw_attrs, inside, end, name, attrs = m.groups()
+            if raw:
+                name = raw
+            elif not name:
                 continue
             name = name.lower()
-            if m[1]:
-                self._end_tag(name)
+            if end:
+                if tag[stack[-1]] == name and not self._reopen:
+                    stack.pop()
+                else:
+                    self._end_tag(name)
                 continue
             if len(stack) > 1 and tag[stack[-1]] == "head" and name not in HEAD_ONLY:
                 stack.pop()
@@ -122,14 +147,19 @@ class Tree:
                 self._end(names, border)
             if self._reopen and name not in CLOSES_P and name not in _TABLE_PARTS:
                 self._restore()
-            raw = m[3]
-            me = self._open(name, {k.lower(): htmllib.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(raw)} if raw and not raw.isspace() else {})
-            if name in RAW_TEXT:
-                end = re.compile(rf"</{name}\s*>", re.I).search(text, at)
-                content[me].append(text[at : end.start() if end else n])
-                at = end.end() if end else n
+            attrs = raw_attrs if raw else attrs
+            me = self._open(name, attrs if attrs and not attrs.isspace() else _NONE)
+            if raw:
+                content[me].append(inside)
             elif name not in VOID:
                 stack.append(me)
+        if at < len(text):
+            self._piece(text[at:])
+
+    def _piece(self, text: str) -> None:
+        if self._reopen and not text.isspace():
+            self._restore()
+        self.content[self._stack[-1]].append(text)
 
     def text(self, e: int, gap: str = "") -> str:
         """Text of a subtree with entities decoded; ``gap`` stands before each element's."""
