@@ -26,6 +26,7 @@ import html as htmllib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -43,6 +44,7 @@ CELLS = frozenset("td th dt dd".split())
 UNREAD = frozenset("script style title textarea noscript template svg iframe head object select canvas".split())
 FURNITURE = frozenset("nav aside header footer button form dialog menu".split())
 INLINE = frozenset("a abbr b bdi bdo cite code dfn em font i kbd label mark q s samp small span strong sub sup time tt u var".split())
+_READ = re.compile("class|hidden|style", re.I)
 _CONCEALED = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
@@ -50,63 +52,86 @@ def _hash(*parts: str) -> int:
     return (xxhash.xxh3_64_intdigest("\x00".join(parts)) ^ (1 << 63)) - (1 << 63)
 
 
-def segments(text: str | None, drop_classes: frozenset) -> tuple[list[int], list[tuple[int, int, str, list[int]]]]:
+Segments = tuple[list[int], list[int], list[int], list[str], list[list[int]]]
+
+
+def segments(text: str | None, drop_classes: frozenset) -> Segments:
     """Distinct subtree hashes of a page (a slot's is even, a copy's odd), and its text
-    segments: (block, enclosing block or -1, text, indexes of the hashes around it)."""
+    segments: blocks, their enclosing blocks or -1, texts, and the indexes of the hashes
+    around them."""
+    hashes: dict[int, int] = {}
+    blocks, outers, texts, arounds = [], [], [], []
     if not text:
-        return [], []
+        return [], blocks, outers, texts, arounds
     page = Tree(text)
     tag, up, attrs, content = page.tag, page.up, page.attrs, page.content
     wraps = set()  # elements around a block
+    whole = [""] * len(tag)  # texts of the subtrees
     for e in range(len(tag) - 1, 0, -1):
         if tag[e] in BLOCKS or e in wraps:
             wraps.add(up[e])
+        whole[e] = "".join([x if isinstance(x, str) else whole[x] for x in content[e]]) + " "
     kept_title = set()
     if "h1" in tag:
         e = tag.index("h1")
         while e >= 0:
             kept_title.add(e)
             e = up[e]
-    hashes: dict[int, int] = {}
-    out: list[tuple[int, int, str, list[int]]] = []
-    # (element or text, innermost block, enclosing blocks' parent, hashes around)
-    parent_block: dict[int, int] = {}
+    outer_of: dict[int, int] = {}
+
+    def add(block: int, piece: str, around: list[int]) -> None:
+        if blocks and blocks[-1] == block and arounds[-1] is around:
+            texts[-1] += piece
+        else:
+            blocks.append(block)
+            outers.append(outer_of[block])
+            texts.append(piece)
+            arounds.append(around)
+
     todo: list[tuple] = [(0, -1, [])]
     while todo:
         x, block, around = todo.pop()
         if isinstance(x, str):
             if block >= 0:
-                out.append((block, parent_block[block], htmllib.unescape(x), around))
+                add(block, htmllib.unescape(x) if "&" in x else x, around)
             continue
-        t, a = tag[x], attrs[x]
-        own = x in kept_title
+        t = tag[x]
         if x:
             if t == "br":
                 if block >= 0:
-                    out.append((block, parent_block[block], " ", around))
+                    add(block, " ", around)
                 continue
             if t in UNREAD or t in VOID:
                 continue
-            if not own and (t in FURNITURE or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or ("style" in a and _CONCEALED.search(a["style"]))):
+            own = x in kept_title
+            a = attrs.naming(x, _READ)
+            if not own and (t in FURNITURE or (a and ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or ("style" in a and _CONCEALED.search(a["style"]))))):
                 continue
             classes = sorted(set(a["class"].lower().split())) if a.get("class") else []
             if classes and not own and not drop_classes.isdisjoint(classes):
                 continue
             if not own and t not in INLINE:
                 # a data cell that repeats is data, not template
-                keys = [] if t in CELLS and x not in wraps else [_hash(t, *classes, " ".join(page.text(x, " ").split())) | 1]
+                keys = [] if t in CELLS and x not in wraps else [_hash(t, *classes, " ".join(whole[x].split())) | 1]
                 if classes:
                     keys.append(_hash(t, *classes) & ~1)
-                around = around + [hashes.setdefault(k, len(hashes)) for k in keys]
+                if keys:
+                    around = around + [hashes.setdefault(k, len(hashes)) for k in keys]
             if t in BLOCKS:
-                parent_block[x] = block
+                outer_of[x] = block
                 block = x
-        todo.extend((c, block, around) for c in reversed(content[x]))
-    return list(hashes), out
+        todo.extend([(c, block, around) for c in reversed(content[x])])
+    return list(hashes), blocks, outers, texts, arounds
 
 
-_SEGMENT = pa.struct([("block", pa.int32()), ("outer", pa.int32()), ("text", pa.string()), ("around", pa.list_(pa.int32()))])
-_SHAPE = "id long, host string, address long, hashes array<long>, segments array<struct<block:int,outer:int,text:string,around:array<int>>>"
+_COLUMNS = {"hashes": "array<long>", "blocks": "array<int>", "outers": "array<int>", "texts": "array<string>", "n_around": "array<int>", "around": "array<int>"}
+_SHAPE = "id long, host string, address long, " + ", ".join(f"{k} {v}" for k, v in _COLUMNS.items())
+
+
+def _lists(parts: list[list], kind: pa.DataType) -> pa.Array:
+    off = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) for p in parts], out=off[1:])
+    return pa.ListArray.from_arrays(pa.array(off), pa.array([x for p in parts for x in p], kind))
 
 
 def read_pages(df: DataFrame, id_col: str, host: str, address: str, html: str, classes: str | None) -> DataFrame:
@@ -118,10 +143,14 @@ def read_pages(df: DataFrame, id_col: str, host: str, address: str, html: str, c
             for start in range(0, whole.num_rows, 256):
                 b = whole.slice(start, 256)
                 got = [segments(h, frozenset(x.lower() for x in c or () if x)) for h, c in zip(b.column("html").to_pylist(), b.column("classes").to_pylist())]
+                hashes, blocks, outers, texts, arounds = ([g[i] for g in got] for i in range(5))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), b.column("host"), b.column("address"), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([[dict(zip(("block", "outer", "text", "around"), s)) for s in g[1]] for g in got], pa.list_(_SEGMENT))],
-                    ["id", "host", "address", "hashes", "segments"],
-                )
+                    [
+                        *(b.column(c) for c in ("id", "host", "address")), _lists(hashes, pa.int64()), _lists(blocks, pa.int32()), _lists(outers, pa.int32()), _lists(texts, pa.string()),
+                        _lists([[len(a) for a in x] for x in arounds], pa.int32()), _lists([[i for a in x for i in a] for x in arounds], pa.int32()),
+                    ],
+                    ["id", "host", "address", *_COLUMNS],
+                )
 
     return rows.mapInArrow(run, _SHAPE)
 
@@ -136,44 +165,56 @@ def recurring(pages: DataFrame) -> DataFrame:
     return some.groupBy("host").agg(F.collect_list("hash").alias("template"))
 
 
-def kept_lines(hashes: list[int], segs: list[dict], template: set[int]) -> list[str]:
-    """Distinct texts of the innermost blocks outside recurring subtrees."""
-    gone = {i for i, h in enumerate(hashes) if h in template}
+def kept_lines(blocks: list[int], outers: list[int], texts: list[str]) -> list[str]:
+    """Distinct texts of the innermost blocks, of the segments that were kept."""
     parts: dict[int, list[str]] = {}
-    outer: dict[int, int] = {}
-    for s in segs:
-        outer[s["block"]] = s["outer"]
-        if gone.isdisjoint(s["around"]):
-            parts.setdefault(s["block"], []).append(s["text"])
+    outer = dict(zip(blocks, outers))
+    for b, t in zip(blocks, texts):
+        parts.setdefault(b, []).append(t)
     lines = {b: " ".join("".join(p).split()) for b, p in parts.items()}
-    wraps = set()  # blocks around another block that has text
-    for b, line in lines.items():
-        if line:
-            o = outer[b]
-            while o >= 0 and o not in wraps:
-                wraps.add(o)
-                o = outer.get(o, -1)
+    wraps = {outer[b] for b, line in lines.items() if line}  # blocks around another that has text
+    todo = list(wraps)
+    while todo:
+        o = outer.get(todo.pop(), -1)
+        if o >= 0 and o not in wraps:
+            wraps.add(o)
+            todo.append(o)
     return list(dict.fromkeys(line for b, line in lines.items() if line and b not in wraps))
 
 
+def page_lines(b: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
+    """(row, kept lines) of pages with their host's template."""
+    cols = {c: b.column(c) for c in _COLUMNS}
+    off = {c: np.asarray(a.offsets) for c, a in cols.items()}
+    flat = {c: a.values for c, a in cols.items()}
+    hashes, around, n_around = (np.asarray(flat[c]) for c in ("hashes", "around", "n_around"))
+    last, known = None, np.zeros(0, np.int64)
+    for i in range(b.num_rows):
+        host, t = b.column("__h")[i].as_py(), b.column("template")[i]
+        if last is None or host != last[0]:
+            last, known = (host,), np.sort(np.asarray(t.values)) if t.is_valid else np.zeros(0, np.int64)
+        own = hashes[off["hashes"][i] : off["hashes"][i + 1]]
+        gone = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own if len(known) else np.zeros(len(own), np.bool_)
+        at = slice(off["blocks"][i], off["blocks"][i + 1])
+        hit = np.concatenate([[0], np.cumsum(gone[around[off["around"][i] : off["around"][i + 1]]])])
+        ends = np.cumsum(n_around[at])
+        kept = np.flatnonzero(hit[ends] == hit[ends - n_around[at]])
+        take = pa.array(kept + at.start)
+        yield i, kept_lines(*(flat[c].take(take).to_pylist() for c in ("blocks", "outers", "texts")))
+
+
 def main_lines(df: DataFrame, id_col: str, host: str, address: str, html: str, classes: str | None = None) -> DataFrame:
     """(id, main_line): the distinct lines of each page's main body."""
     pages = cut(read_pages(df, id_col, host, address, html, classes))
     template = cut(recurring(pages).withColumnRenamed("host", "__h"))
-    met = pages.join(maybe_broadcast(template, 10_000), F.coalesce("host", F.lit("")) == F.col("__h"), "left").select("id", "hashes", "segments", "template")
+    met = pages.join(maybe_broadcast(template, 10_000), F.coalesce("host", F.lit("")) == F.col("__h"), "left").select("id", "__h", *_COLUMNS, "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, as_set = None, set()
         for b in batches:
-            ids, lines = [], []
-            for i in range(b.num_rows):
-                t = b.column("template")[i]
-                known = t.as_py() if t.is_valid else []
-                if known is not last:
-                    as_set = set(known)
-                for line in kept_lines(b.column("hashes")[i].as_py(), b.column("segments")[i].as_py(), as_set):
-                    ids.append(b.column("id")[i].as_py())
-                    lines.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["id", "main_line"])
+            at, lines = [], []
+            for i, own in page_lines(b):
+                at += [i] * len(own)
+                lines += own
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int32())), pa.array(lines, pa.string())], ["id", "main_line"])
 
     return met.mapInArrow(run, "id long, main_line string")

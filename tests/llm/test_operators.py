@@ -179,9 +179,9 @@ def test_containers_switch_to_bitmaps():
 # Page bodies
 
 
-def lines_of(html, classes=(), template=()):
-    h, s = sitetemplates.segments(html, frozenset(classes))
-    return sitetemplates.kept_lines(h, [dict(zip(("block", "outer", "text", "around"), x)) for x in s], set(template))
+def lines_of(html, classes=()):
+    _, blocks, outers, texts, _ = sitetemplates.segments(html, frozenset(classes))
+    return sitetemplates.kept_lines(blocks, outers, texts)
 
 
 def test_lines_of_a_page():
