@@ -413,7 +413,7 @@ def rank_movement(spark: SparkSession, d: str) -> DataFrame:
         select l_returnflag, l_extendedprice, row_number() over (partition by l_returnflag order by l_extendedprice) as upto, count(*) over (partition by l_returnflag) as total from lineitem)
     group by 1""")
 def nearest_rank_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.nearest_rank(table(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"], [0.5, 0.95])
+    return evaluation.nearest_rank(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag", [0.5, 0.95])
 
 
 @query("select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docquarry.operators.keychunks import number_rows
+
 #: Positions looked at; greatest drop of a metric, greatest net loss of queries.
 TOP = 10
 MAX_DROP, MAX_NET_LOSS = 0.02, 3
@@ -66,18 +67,18 @@ def accuracy(df: DataFrame, expected: str, predicted: str, confidence: str, sure
 def class_balance(df: DataFrame, label: str, most: float = 0.5) -> DataFrame:
     """(label, n, share, balanced): no class may hold ``most`` of the rows or more."""
     n = df.groupBy(label).agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    shares = n.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("total"))  # total is one row
-    return shares.withColumn("balanced", F.col("share") < most).drop("total")
+    return n.withColumn("share", F.col("n") / F.lit(df.count())).withColumn("balanced", F.col("share") < most)
 
 
-def nearest_rank(df: DataFrame, value: str, by: Sequence[str], shares: Sequence[float]) -> DataFrame:
+def nearest_rank(df: DataFrame, value: str, by: str, shares: Sequence[float]) -> DataFrame:
     """Nearest-rank percentiles (an observed value each, no interpolation) of the non-null
-    values: by..., p50, p95... Values are counted first, so that a hot group is small."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    upto = counted.withColumn("upto", F.sum("n").over(W.partitionBy(*by).orderBy(value))).withColumn("total", F.sum("n").over(W.partitionBy(*by)))
-    picks = [F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.col("total") * s), F.lit(1)), F.col(value))).alias(f"p{round(s * 100)}") for s in shares]
-    return upto.groupBy(*by).agg(*picks)
+    values: by, p50, p95... Rows get their exact place within the group by offset
+    chunking, so a group that holds most rows is in no task as a whole."""
+    placed = number_rows(df.where(F.col(value).isNotNull()), by, [value])
+    total = placed.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"))
+    met = placed.join(total, F.col(by).eqNullSafe(F.col("__by")))
+    picks = [F.max(F.when(F.col("row_no") + 1 == F.greatest(F.ceil(F.col("__n") * s), F.lit(1)), F.col(value))).alias(f"p{round(s * 100)}") for s in shares]
+    return met.groupBy(by).agg(*picks)
 
 
 def golden(got: DataFrame, kept: DataFrame, name: str = "name", value: str = "value") -> DataFrame:

@@ -24,8 +24,9 @@ HEADING_GAP = 100
 
 @dataclass
 class Index:
-    """``postings``: field, term, key..., tf, positions. ``lengths``: field, key..., len.
-    ``stats``: field, n_docs, avg_len. ``docs``: key..., body_len, stored columns."""
+    """``postings``: field, term, key..., tf, len (of the document's field, so that scoring
+    joins no lengths), positions. ``lengths``: field, key..., len. ``stats``: field,
+    n_docs, avg_len. ``docs``: key..., body_len, stored columns."""
 
     key: tuple[str, ...]
     postings: DataFrame
@@ -53,7 +54,7 @@ class Index:
 
 
 def _grouped(places: DataFrame, key: Sequence[str]) -> DataFrame:
-    return places.groupBy("field", "term", *key).agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return places.groupBy("field", "term", *key).agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def placed_tokens(text: Column) -> Column:
@@ -73,7 +74,7 @@ def build(df: DataFrame, key: Sequence[str], fields: dict[str, Column], stored:
     per_field = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(c, empty).alias("tokens")) for n, c in fields.items()])).alias("f")
     rows = df.select(*key, per_field).select(*key, "f.field", "f.tokens")
     lengths = rows.select("field", *key, F.size("tokens").alias("len"))
-    places = rows.select("field", *key, F.explode("tokens").alias("t")).select("field", *key, F.col("t.token").alias("term"), F.col("t.pos").alias("pos"))
+    places = rows.select("field", *key, F.size("tokens").alias("len"), F.explode("tokens").alias("t")).select("field", *key, "len", F.col("t.token").alias("term"), F.col("t.pos").alias("pos"))
     stats = lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     docs = df.select(*key, F.size(F.coalesce(fields.get(body, empty), empty)).alias("body_len"), *[c.alias(n) for n, c in (stored or {}).items()])
     return Index(tuple(key), _grouped(places, key), lengths, stats, docs, places)

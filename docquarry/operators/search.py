@@ -89,8 +89,8 @@ def _with_idf(index: Index, terms: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _scored(index: Index, hits: DataFrame) -> DataFrame:
-    """(query_id, key..., score) of hits (query_id, field, key..., tf, weight, term_idf)."""
-    with_len = hits.join(index.lengths, ["field", *index.key]).join(F.broadcast(index.stats.select("field", "avg_len")), "field")
+    """(query_id, key..., score) of hits (query_id, field, key..., tf, len, weight, term_idf)."""
+    with_len = hits.join(F.broadcast(index.stats.select("field", "avg_len")), "field")
     part = F.col("weight") * F.col("term_idf") * bm25(F.col("tf"), F.col("len"), F.greatest("avg_len", F.lit(1e-9)))
     return with_len.groupBy("query_id", *index.key).agg(F.sum(part).alias("score"))
 
@@ -105,7 +105,7 @@ def phrase_scores(index: Index, asked: DataFrame, found: DataFrame) -> DataFrame
     """A phrase counts where its terms stand at consecutive positions; its idf is the sum of theirs."""
     met = found.join(_with_idf(index, asked, found), ["field", "term"])
     starts = F.transform("positions", lambda p: p - F.col("slot"))
-    whole = met.groupBy("query_id", "phrase", "field", *index.key).agg(F.collect_list(starts).alias("starts"), F.first("size").alias("size"), F.first("weight").alias("weight"), F.sum("own_idf").alias("term_idf")).where(F.size("starts") == F.col("size"))
+    whole = met.groupBy("query_id", "phrase", "field", *index.key).agg(F.collect_list(starts).alias("starts"), F.first("size").alias("size"), F.first("len").alias("len"), F.first("weight").alias("weight"), F.sum("own_idf").alias("term_idf")).where(F.size("starts") == F.col("size"))
     count = F.size(F.aggregate(F.slice("starts", 2, 2**20), F.col("starts")[0], lambda a, b: F.array_intersect(a, b)))
     return _scored(index, whole.withColumn("tf", count).where("tf > 0"))
 

@@ -139,7 +139,7 @@ def test_evaluation(spark):
     assert {r.query_id: r.moved for r in evaluation.movement(ranks, new).collect()} == {1: "worse", 2: "better", 3: "same", 4: "dropped", 5: "added"}
     assert evaluation.gate(ranks, ranks).first().passes and not evaluation.gate(ranks.limit(0), ranks.limit(0)).first().passes
     v = spark.createDataFrame([("x", float(i)) for i in range(1, 11)] + [("y", None), ("z", 3.0)], "k string, v double")
-    assert rows(evaluation.nearest_rank(v, "v", ["k"], [0.5, 0.95])) == [("x", 5.0, 10.0), ("z", 3.0, 3.0)]
+    assert rows(evaluation.nearest_rank(v, "v", "k", [0.5, 0.95])) == [("x", 5.0, 10.0), ("z", 3.0, 3.0)]
     g = evaluation.golden(spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "name string, value string"), spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "name string, value string"))
     assert rows(g) == [("a", "pass"), ("b", "mismatch"), ("c", "missing"), ("d", "orphan")] and not evaluation.golden_passes(g) and not evaluation.golden_passes(g.limit(0))
     d = spark.createDataFrame([("a", "a", 0.9), ("a", "b", 0.9), ("b", "b", 0.1)], "e string, p string, c double")
