@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.components import components
-from docquarry.runtime import cut
+from docquarry.runtime import cut, maybe_broadcast
 
 #: Signature slots (a prime), bands and slots of a band.
 SLOTS, BANDS, ROWS = 211, 52, 4
@@ -161,15 +161,16 @@ def classes(feats: DataFrame) -> DataFrame:
 
 def similar_classes(feats: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
     """Verified pairs (rep_a < rep_b) of classes at ``threshold`` or above."""
-    reps = member.where("id = rep").select("id")
-    own = feats.join(reps, "id", "left_semi")
+    copies = member.where("id <> rep").select("id")
+    own = feats.where("n > 0").join(maybe_broadcast(copies), "id", "left_anti")
     bands = own.select("id", F.explode("bands").alias("band"))
     other = bands.select(F.col("id").alias("id_b"), "band")
     pairs = bands.join(other, "band").where("id < id_b").select(F.col("id").alias("rep_a"), F.col("id_b").alias("rep_b")).distinct()
-    sets = feats.select("id", "n", "shingles")
+    cand = cut(pairs)
+    met_ids = cand.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
+    sets = feats.select("id", "n", "shingles").join(maybe_broadcast(met_ids), "id", "left_semi")
     one = sets.select(F.col("id").alias("rep_a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
     two = sets.select(F.col("id").alias("rep_b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-    cand = cut(pairs)
     # sizes alone rule out pairs whose smaller set is below the threshold's share
     met = cand.join(one, "rep_a").join(two, "rep_b").where((F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - 1e-9))
     both = met.withColumn("both", F.size(F.array_intersect("s_a", "s_b")))
