@@ -113,6 +113,18 @@ def html_escape(c: Column | str) -> Column:
     return out
 
 
+def redact(c: Column | str, home: str) -> Column:
+    """A text with a home folder shown as ``~``."""
+    return F.replace(_col(c), F.lit(home.rstrip("/")), F.lit("~"))
+
+
+def ago(then: Column | str, now: Column) -> Column:
+    """How long ago in words: never, just now, minutes, hours, days."""
+    s = (F.unix_micros(now) - F.unix_micros(_col(then))) / 1_000_000
+    whole = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(f" {unit} ago"))
+    return F.when(_col(then).isNull(), "never").when(s < 60, "just now").when(s < 3600, whole(60, "min")).when(s < 86400, whole(3600, "h")).otherwise(whole(86400, "d"))
+
+
 def allowed_distance(c: Column | str, cap: int = 2) -> Column:
     """Edits a term may differ by: none up to 3 characters, 1 up to 6, then 2."""
     n = F.length(_col(c))

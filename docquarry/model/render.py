@@ -6,6 +6,7 @@ import html as htmllib
 import re
 
 from docquarry.model.ast import text_content
+from docquarry.model.highlight import highlight
 from docquarry.model.parse import squeeze
 
 OUTLINE_LEVELS = 4
@@ -68,8 +69,7 @@ class Html:
         return f"<a{_attr('id', self.ids.take(n['id']))}></a>" if n["id"] else ""
 
     def do_code_block(self, n: dict) -> str:
-        lines = "\n".join(f'<span class="line">{htmllib.escape(x)}</span>' for x in n["code"].split("\n"))
-        return f"<pre><code{_attr('class', n.get('language') and 'language-' + n['language'])}>{lines}</code></pre>"
+        return f"<pre><code{_attr('class', n.get('language') and 'language-' + n['language'])}>{highlight(n['code'], n.get('language'))}</code></pre>"
 
     def do_inline_code(self, n: dict) -> str:
         return f"<code>{htmllib.escape(n['code'])}</code>"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values: (platform, confidence, marks), the first rule with a mark in the page wins.
@@ -48,3 +48,9 @@ def source_type(html: Column) -> Column:
         hit = (p == name) & (confidence(html) >= CONFIDENT)
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out.otherwise("generic")
+
+
+def detect_pages(df: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
+    """``keep``, platform, confidence, source_type and whether it is certain enough."""
+    h = F.col(html)
+    return df.select(*keep, platform(h).alias("platform"), confidence(h).alias("confidence"), source_type(h).alias("source_type"), (confidence(h) >= CONFIDENT).alias("confident"))

@@ -123,6 +123,21 @@ def test_markdown_outline_sections():
     assert was and cut.count("```") == 2
 
 
+def test_highlight():
+    from docquarry.model.highlight import highlight
+
+    got = highlight("def f(x):\n    return '<'", "python")
+    assert got.count('class="line"') == 2 and "&lt;" in got and 'class="k"' in got
+    assert highlight("a < b\n", "nolanguage") == '<span class="line">a &lt; b</span>\n<span class="line"></span>'
+
+
+def test_detection(spark):
+    from docquarry.operators.detect import detect_pages
+
+    df = spark.createDataFrame([("<LINK href=/Rustdoc-1.css>",), ("<div id=sidebar-scrollbox data-rustdoc>",), ("_static/x",), (None,)], "html string")
+    assert [tuple(r) for r in detect_pages(df, []).collect()] == [("rustdoc", 0.97, "rustdoc", True), ("mdbook", 0.95, "mdbook", True), ("sphinx", 0.85, "readthedocs", True), ("generic", 0.4, "generic", False)]
+
+
 def test_page_operators_on_messy_rows(spark):
     df = spark.createDataFrame([(1, '{"type":"document","children":[{"type":"paragraph","children":[{"type":"text","value":"the sorter"}]}]}', "p", None, "x"), (2, None, None, None, "x"), (3, '{"type":', "q", "t", "x"), (None, "[]", None, None, None)], "page_id long, body string, path string, title string, text string")
     keep = {"page_id": "long"}
