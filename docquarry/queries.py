@@ -31,7 +31,28 @@ def query(sql: str | None = None) -> Callable:
 # Nested records ------------------------------------------------------------
 
 
-@query()
+_OBJECTS_SQL = """
+    with once as (select page_id, case when json_type(body) = 'VARCHAR' then json_extract_string(body, '$') else body end as body from stored_pages where json_valid(body)),
+    nodes as (select 'page' as rec_kind, page_id as rec_id, t.id, t.parent, t.type, t.value, t.key from once, json_tree(body) t where json_valid(body)),
+    once_toc as (select docset_id, case when json_type(toc) = 'VARCHAR' then json_extract_string(toc, '$') else toc end as toc from docsets where json_valid(toc)),
+    every as (select * from nodes union all select 'toc', docset_id, t.id, t.parent, t.type, t.value, t.key from once_toc, json_tree(toc) t where json_valid(toc)),
+    numbered as (select *, row_number() over (partition by rec_kind, rec_id order by id) - 1 as obj_no from every where type = 'OBJECT'),
+    arrays as (select * from every where type = 'ARRAY')
+    select {cols} from (select n.rec_kind, n.rec_id, n.value, case when a.id is null then n.key else a.key end as member, cast(n.obj_no as integer) as obj_no, cast(coalesce(p.obj_no, q.obj_no, -1) as integer) as parent_no
+    from numbered n left join numbered p on p.rec_kind = n.rec_kind and p.rec_id = n.rec_id and p.id = n.parent
+        left join arrays a on a.rec_kind = n.rec_kind and a.rec_id = n.rec_id and a.id = n.parent
+        left join numbered q on q.rec_kind = a.rec_kind and q.rec_id = a.rec_id and q.id = a.parent) {rest}"""
+
+
+def _objects_sql(cols: str, rest: str = "") -> str:
+    return _OBJECTS_SQL.replace("{cols}", cols).replace("{rest}", rest)
+
+
+def _members_sql(fields: tuple[str, ...]) -> str:
+    return ", ".join(f"json_extract_string(value, '$.{f}') as {f}" for f in fields)
+
+
+@query(_objects_sql("rec_kind, rec_id, obj_no, parent_no"))
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every JSON object of a readable body or toc, with its nearest enclosing one."""
     pages = flatten_json(table(spark, d, "stored_pages"), "body", {"page_id": "long"})
@@ -39,13 +60,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.select(F.lit("page").alias("rec_kind"), F.col("page_id").alias("rec_id"), "obj_no", "parent_no").unionByName(tocs.select(F.lit("toc").alias("rec_kind"), F.col("docset_id").alias("rec_id"), "obj_no", "parent_no"))
 
 
-@query()
+@query(_objects_sql("page_id, source_id, path, obj_no, parent_no, member, " + _members_sql(NODE_FIELDS), "join stored_pages s on s.page_id = rec_id where rec_kind = 'page'"))
 def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
     """The tree nodes of all pages as one flat table with parent links."""
     return flatten_json(table(spark, d, "stored_pages"), "body", {"page_id": "long", "source_id": "string", "path": "string"}, fields=NODE_FIELDS, with_key=True)
 
 
-@query()
+@query(_objects_sql("docset_id, source_id, obj_no, parent_no, " + _members_sql(TOC_FIELDS), "join docsets s on s.docset_id = rec_id where rec_kind = 'toc'"))
 def p2_toc_entries(spark: SparkSession, d: str) -> DataFrame:
     """The table-of-contents entries of all docsets as one flat table with parent links."""
     return flatten_json(table(spark, d, "docsets"), "toc", {"docset_id": "long", "source_id": "string"}, fields=TOC_FIELDS)
