@@ -1,3 +1,55 @@
 """SQL of the training-text queries that SQL can express on whole tables."""
 
-SQL: dict[str, str] = {}
+#: Readable bodies, unwrapped if they were encoded twice.
+_READABLE = """
+    once as (select page_id, source_id, path, case when json_type(body) = 'VARCHAR' then json_extract_string(body, '$') else body end as body from stored_pages where json_valid(body)),
+    readable as (select * from once where json_valid(body) and json_type(body) = 'OBJECT')"""
+#: Text strings of the bodies in document order.
+_STRINGS = """
+    strings as (select r.page_id, r.source_id, r.path, t.id as pos, json_extract_string(t.value, '$') as s from readable r, json_tree(r.body) t
+        where t.key in ('value', 'code', 'alt') and t.type = 'VARCHAR')"""
+
+
+def _words(c: str) -> str:
+    return rf"regexp_extract_all(lower(replace(replace(nfc_normalize({c}), chr(173), ''), chr(8203), '')), '[\p{{L}}\p{{N}}]+')"
+
+
+def _grams(words: str, n: int) -> str:
+    return f"list_transform(range(1, len({words}) - {n - 2}), lambda i: list_slice({words}, i, i + {n - 1}))"
+
+
+SQL: dict[str, str] = {
+    "p1_found": rf"""
+    with {_READABLE},
+    blocks as (select r.page_id, r.source_id, r.path, cast(e.key as integer) as block_no, e.value as block from readable r, json_each(r.body, '$.children') e),
+    parts as (select b.page_id, b.source_id, b.path, b.block_no, t.id as pos, json_extract_string(t.value, '$') as s from blocks b, json_tree(b.block) t where t.key in ('value', 'code', 'alt') and t.type = 'VARCHAR'),
+    lines as (select page_id, source_id, path, block_no, regexp_replace(lower(nfc_normalize(string_agg(s, '' order by pos))), '[^\p{{L}}]+', '', 'g') as k from parts group by all),
+    totals as (select source_id, count(distinct path) as n from readable group by 1),
+    bad as (select source_id, k from lines join totals using (source_id) where k <> '' group by source_id, k, n having count(distinct path) >= 5 and count(distinct path) * 10 >= n)
+    select page_id, block_no from lines join bad using (source_id, k)""",
+    "p3_found": f"""
+    with {_READABLE}, {_STRINGS},
+    texts as (select page_id, flatten(list({_words('s')} order by pos)) as w from strings group by 1),
+    grams as (select distinct page_id, unnest({_grams('w', 3)}) as g from texts where len(w) >= 3),
+    sizes as (select page_id, count(*) as n from grams group by 1),
+    shared as (select a.page_id as page_id_a, b.page_id as page_id_b, count(*) as both_n from grams a join grams b on a.g = b.g and a.page_id < b.page_id group by all)
+    select page_id_a, page_id_b from shared join sizes x on x.page_id = page_id_a join sizes y on y.page_id = page_id_b where both_n * 5 >= (x.n + y.n - both_n) * 3""",
+    "p4_found": f"""
+    with {_READABLE}, {_STRINGS},
+    body as (select distinct source_id, path, unnest({_words('s')}) as term from strings),
+    hit as (select distinct query_id, hit_rank, unnest({_words('title')}) as term from hits where title is not null),
+    freq as (select 'body' as field_name, term, count(*) as n, (select count(*) from (select distinct source_id, path from readable)) as total from body group by term
+        union all select 'title', term, count(*), (select count(*) from (select distinct query_id, hit_rank from hits)) from hit group by term)
+    select field_name, term, case when n = 1 then 'rare' else 'common' end as mark from freq where n = 1 or n * 4 > total""",
+    "p4_frequencies": f"""
+    with {_READABLE}, {_STRINGS},
+    body as (select source_id, path, unnest({_words('s')}) as term from strings),
+    hit as (select query_id, hit_rank, unnest({_words('title')}) as term from hits where title is not null),
+    freq as (select 'body' as field_name, term, count(*) as n_occurrences, count(distinct (source_id, path)) as n_records, (select count(*) from (select distinct source_id, path from readable)) as total from body group by term
+        union all select 'title', term, count(*), count(distinct (query_id, hit_rank)), (select count(*) from (select distinct query_id, hit_rank from hits)) from hit group by term)
+    select field_name, term, n_occurrences, n_records, case when n_records = 1 then 'rare' when n_records * 4 > total then 'common' end as mark from freq""",
+    "p9_found": f"""
+    with d as (select doc_id, {_words('text')} as w from documents), e as (select item_id, {_words('text')} as w from eval_items),
+    dg as (select distinct doc_id, unnest({_grams('w', 12)}) as g from d where len(w) >= 12), eg as (select distinct item_id, unnest({_grams('w', 12)}) as g from e where len(w) >= 12)
+    select distinct doc_id, item_id from dg join eg using (g)""",
+}
