@@ -1,12 +1,16 @@
 """Text analysis as column expressions: tokens, query words, slugs, escapes.
 
-All of it stays inside whole-stage code generation; only the edit distance with
-transpositions is an Arrow UDF, for no built-in function has it. Null in, null out.
+Nearly all of it stays inside the JVM; code tokens with positions and the edit distance
+with transpositions are Arrow functions, for no built-in ones do. Null in, null out.
 """
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,23 +43,44 @@ def code_parts(word: Column) -> Column:
     return F.filter(F.split(marked, "[_-]+"), lambda t: t != "")
 
 
+_CODE_WORD = re.compile(r"[\w-]+")
+_PART = regex.compile(r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|[_-]+")
+
+
+def code_token_list(text: str) -> list[tuple[str, int, int]]:
+    """(token, pos, len) of code, see :func:`code_tokens`."""
+    out, at = [], 0
+    for word in _CODE_WORD.findall(text):
+        if word.islower() and "_" not in word and "-" not in word:
+            parts = [word]
+        else:
+            parts = [p for p in _PART.split(word) if p]
+            if len(parts) > 1:
+                out.append((word.lower(), at, len(parts)))
+        out += [(p.lower(), at + i, 1) for i, p in enumerate(parts)]
+        at += len(parts)
+    return [t for t in out if len(t[0].encode()) <= MAX_CODE_BYTES]
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("len", T.IntegerType())])))
+def _code_tokens(c: pa.Array) -> pa.Array:
+    lists = [None if s is None else code_token_list(s) for s in c.to_pylist()]
+    flat = [t for x in lists if x for t in x]
+    kinds = (pa.string(), pa.int32(), pa.int32())
+    items = pa.StructArray.from_arrays([pa.array([t[i] for t in flat], k) for i, k in enumerate(kinds)], ["token", "pos", "len"])
+    off, n = [], 0
+    for x in lists:
+        off.append(None if x is None else n)
+        n += len(x or ())
+    return pa.ListArray.from_arrays(pa.array([*off, n], pa.int32()), items)
+
+
 def code_tokens(c: Column | str) -> Column:
     """(token, pos, len) of code: each word whole, if it has parts, and then its parts.
     The whole stands at its first part's position and spans all of them. Tokens over
-    120 bytes are dropped, never cut."""
-    step = F.aggregate(
-        F.transform(code_words(c), lambda w: F.struct(w.alias("word"), code_parts(w).alias("parts"))),
-        F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<token:string,pos:int,len:int>>").alias("out")),
-        lambda acc, w: F.struct(
-            (acc["next"] + F.size(w["parts"])).alias("next"),
-            F.concat(
-                acc["out"],
-                F.when(F.size(w["parts"]) > 1, F.array(F.struct(F.lower(w["word"]).alias("token"), acc["next"].alias("pos"), F.size(w["parts"]).alias("len")))).otherwise(F.array().cast("array<struct<token:string,pos:int,len:int>>")),
-                F.transform(w["parts"], lambda p, i: F.struct(F.lower(p).alias("token"), (acc["next"] + i).alias("pos"), F.lit(1).alias("len"))),
-            ).alias("out"),
-        ),
-    )
-    return F.filter(step["out"], lambda t: F.octet_length(t["token"]) <= MAX_CODE_BYTES)
+    120 bytes are dropped, never cut. An Arrow function: built-in ones can only carry
+    the running position through an aggregate that copies its result at every word."""
+    return _code_tokens(_col(c))
 
 
 def plain_text_query(c: Column | str) -> Column:
