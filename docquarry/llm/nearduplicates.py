@@ -15,6 +15,11 @@ Sets are compared by 32-bit hashes of the shingles: two sets of n shingles agree
 falsely in about n*n/2^32 of them. With BANDS x ROWS = 52 x 4 a pair at
 similarity 0.6 is missed with probability 0.0007, at 0.7 with 7e-7.
 
+All similar pairs are the result that is asked for, so a bucket of n different but
+similar records leads to its candidate pairs; the shuffled join spreads them over
+tasks, and only pairs of different classes are formed. Whoever needs groups only
+reads :func:`similar_groups`, which gives one row per record.
+
 Defined results: unreadable records and records without a shingle are in no pair
 and are a class and a group of their own.
 """

@@ -20,8 +20,8 @@ and the weights give every document its subjects.
    document.
 
 Defined results: null and empty texts have no subject; repeated labels count
-once; labels of subjects that aren't listed are ignored; repeated ids are one
-document whose texts are taken together.
+once; labels of subjects that aren't listed are ignored; the texts of a repeated id
+are weighed together, against the words of the longest.
 """
 
 from __future__ import annotations
