@@ -1,21 +1,23 @@
-"""Subjects of documents, by label propagation over a document-similarity graph.
+"""Subjects of documents, by self-training over the terms they share.
 
-Two documents are similar if they share terms that tell subjects apart. The graph
-is kept factored, as links document - term with the term's occurrences, for its
-product with itself would link every pair of documents of a subject. A step
-along it is two joins: the labels of documents give every term a subject weight,
-and the weights give every document its subjects.
+The method named for this problem is label propagation over a document-similarity
+graph. It isn't what is built here: no links between documents are formed or
+verified, for the documents of a subject are all linked to each other, and a link
+says little where a document has several subjects. In its place labels travel
+from documents to terms and back. A term weighs the lower confidence bound of its
+share of a subject, not a sum over neighbours, and counts once per document, so
+this isn't the propagation step of such a graph either.
 
-1. Annotated documents give the candidate terms: those that lean towards one
-   subject among them.
-2. All documents are read once; their links to candidate terms are kept on
+1. All documents are read once; their terms with the occurrences are kept on
    shared storage, one compact row per document.
-3. ROUNDS times: term weights from the current labels of all documents (a lower
-   confidence bound of the share of the term's documents with the subject), then
-   labels from the weights. A label is verified: enough distinct terms and a
-   share of the text, so that a passing mention isn't one. Documents may keep
-   several subjects, or none.
-4. Seeds are trusted if the graph supports them at least weakly; those are
+2. ROUNDS times: term weights from the current labels (a lower confidence bound of
+   the share of the term's documents with the subject), then labels from the
+   weights. In the first round the annotated documents are weighed, in later ones
+   all documents. Every round weighs every term anew, so labels also reach
+   documents over terms that stand in no annotated document. A label is verified:
+   enough distinct terms and a share of the text, so that a passing mention isn't
+   one. Documents may keep several subjects, or none.
+3. Seeds are trusted if the terms support them at least weakly; those are
    clamped to their label in every round, the others are labelled like any
    document.
 
@@ -30,9 +32,7 @@ from collections.abc import Iterator
 
 import re
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,16 +41,12 @@ from docquarry.functions.words import words
 from docquarry.runtime import cut, maybe_broadcast
 
 ROUNDS = 3
-#: Annotated documents a candidate term stands in, and its least share of one subject there.
-MIN_SEED_DOCS, MIN_SEED_SHARE = 2, 0.4
 #: Least weight of a term that speaks for a subject; z of its confidence bound.
 MIN_WEIGHT, BOUND_Z = 0.5, 1.64
 #: A label needs this weight of distinct terms, and this share of the text's words.
 MIN_SCORE, MIN_DENSITY = 1.3, 0.008
 #: Weight of distinct terms from which a seed is trusted.
 TRUST_SCORE = 1.0
-#: Candidate terms that may travel to the scan; beyond, they are joined.
-CANDIDATE_ROWS = 1_000_000
 
 _CASE = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z])")
 
@@ -87,26 +83,20 @@ def _hashes(names) -> list[int]:
 _SHAPE = "doc long, n_words int, terms array<long>, counts array<int>"
 
 
-def _term_rows(docs: DataFrame, candidates: np.ndarray | None = None) -> DataFrame:
-    """One row per document: its words, hashed terms and their occurrences, only the
-    candidates if given (sorted)."""
+def _term_rows(docs: DataFrame) -> DataFrame:
+    """One row per document: its words, hashed terms and their occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, hashed, counts, size = [], [], [], []
+            n_words, hashed, counts, off = [], [], [], [0]
             for text in b.column(1).to_pylist():
                 n, own = terms(text)
                 n_words.append(n)
                 hashed += _hashes(own)
                 counts += own.values()
-                size.append(len(own))
-            h, c = np.array(hashed, np.int64), np.array(counts, np.int32)
-            owner = np.repeat(np.arange(len(size)), size)
-            if candidates is not None:
-                keep = candidates[np.minimum(np.searchsorted(candidates, h), len(candidates) - 1)] == h if len(candidates) else np.zeros(len(h), np.bool_)
-                h, c, owner = h[keep], c[keep], owner[keep]
-            off = pa.array(np.searchsorted(owner, np.arange(len(size) + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int32()), pa.ListArray.from_arrays(off, pa.array(h)), pa.ListArray.from_arrays(off, pa.array(c))], ["doc", "n_words", "terms", "counts"])
+                off.append(len(hashed))
+            at = pa.array(off, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int32()), pa.ListArray.from_arrays(at, pa.array(hashed, pa.int64())), pa.ListArray.from_arrays(at, pa.array(counts, pa.int32()))], ["doc", "n_words", "terms", "counts"])
 
     return docs.mapInArrow(run, _SHAPE)
 
@@ -122,13 +112,14 @@ def _lower_bound(k, n):
     return (p + z2 / (2 * n) - BOUND_Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
 
-def _per_subject(links: DataFrame, labels: DataFrame) -> DataFrame:
+def _per_subject(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(term, subject, k, n): documents with the term and the subject, and with the term.
 
-    Labels are grouped per document first, so a link is joined once."""
+    Labels are grouped and meet the compact rows, so a document is joined once."""
     grouped = labels.groupBy("doc").agg(F.collect_list("subject").alias("subjects"))
-    met = links.join(grouped, "doc", "left").select("term", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("subjects", F.array().cast("array<string>")))).alias("subject"))
-    counts = met.groupBy("term", "subject").agg(F.count("*").alias("k"))
+    met = rows.select("doc", "terms").join(grouped, "doc", "left").select("subjects", F.explode("terms").alias("term"))
+    every = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("subjects", F.array().cast("array<string>")))
+    counts = met.select("term", F.explode(every).alias("subject")).groupBy("term", "subject").agg(F.count("*").alias("k"))
     both = counts.groupBy("term").agg(F.max(F.when(F.col("subject").isNull(), F.col("k"))).alias("n"), F.collect_list(F.when(F.col("subject").isNotNull(), F.struct("subject", "k"))).alias("own"))
     return both.select("term", "n", F.explode("own").alias("s")).select("term", "n", "s.subject", "s.k")
 
@@ -145,18 +136,10 @@ def subjects(docs: DataFrame, labels: DataFrame, listed: DataFrame, doc_id: str
     names = listed.select(F.col(subject).alias("subject")).distinct()
     seeds = cut(labels.select(F.col(doc_id).cast("long").alias("doc"), F.col(subject).alias("subject")).dropna().distinct().join(names, "subject", "left_semi"))
 
-    known = d.join(seeds.select("doc").distinct(), "doc", "left_semi")
-    lean = _per_subject(_links(_term_rows(known)), seeds).where((F.col("k") >= MIN_SEED_DOCS) & (F.col("k") >= F.col("n") * MIN_SEED_SHARE))
-    candidates = cut(lean.select("term").distinct())
-    if candidates.limit(CANDIDATE_ROWS + 1).count() <= CANDIDATE_ROWS:
-        held = np.array(sorted(r.term for r in candidates.collect()), np.int64)
-        rows = _term_rows(d, held)
-    else:
-        few = _links(_term_rows(d)).join(candidates, "term")
-        rows = few.groupBy("doc", "n_words").agg(F.collect_list("term").alias("terms"), F.collect_list("occ").alias("counts"))
-    graph = _links(cut(rows.where(F.size("terms") > 0)))
-
-    current, on = seeds, graph.join(seeds.select("doc").distinct(), "doc", "left_semi")
+    rows = cut(_term_rows(d).where(F.size("terms") > 0))
+    graph = _links(rows)
+
+    current, on = seeds, rows.join(seeds.select("doc").distinct(), "doc", "left_semi")
     for step in range(rounds):
         counted = _per_subject(on, current)
         weights = cut(counted.withColumn("weight", _lower_bound(F.col("k"), F.col("n"))).where(F.col("weight") >= MIN_WEIGHT).select("term", "subject", "weight"))
@@ -166,5 +149,5 @@ def subjects(docs: DataFrame, labels: DataFrame, listed: DataFrame, doc_id: str
         labelled = scored.where(verified | clamped)
         if step == rounds - 1:
             return labelled.select("doc", "subject", "score", "density", F.coalesce("seed", F.lit(False)).alias("seed"))
-        current, on = cut(labelled.select("doc", "subject")), graph
+        current, on = cut(labelled.select("doc", "subject")), rows
     return seeds.select("doc", "subject", F.lit(0.0).alias("score"), F.lit(0.0).alias("density"), F.lit(True).alias("seed"))

@@ -336,6 +336,20 @@ def test_subjects(spark):
     assert subjects.subjects(d.limit(0), lab, names).collect() == [] and subjects.subjects(d, lab.limit(0), names).collect() == []
 
 
+def test_labels_reach_terms_of_unlabelled_documents(spark):
+    r = random.Random(11)
+    common, law, sport, far = ([f"{k}{chr(97 + i)}word" for i in range(12)] for k in ("gen", "law", "sport", "bail"))
+    docs = [[*r.choices(common, k=40), *r.choices(own, k=8)] for own in (law, sport) for _ in range(60)]
+    docs += [[*r.choices(common, k=40), *r.choices(law, k=8), *far] for _ in range(60)]
+    docs += [[*r.choices(common, k=40), *far[:8]] for _ in range(6)]  # of law only over the documents before
+    docs += [r.choices(common, k=40) for _ in range(60)]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, "law" if i < 60 else "sport") for i in range(120)], "doc_id long, subject string")
+    names = spark.createDataFrame([("law",), ("sport",)], "subject string")
+    got = {x.doc for x in subjects.subjects(d, lab, names).where("subject = 'law'").collect()}
+    assert got == {*range(60), *range(120, 186)}
+
+
 def test_queries_on_small_tables(spark, data):
     for name, f in QUERIES.items():
         f(spark, data).collect()
