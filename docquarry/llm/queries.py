@@ -11,7 +11,7 @@ from docquarry.functions.words import words
 from docquarry.llm import leakage, nearduplicates, packing, repeatedlines, sitetemplates, subjects, vocabulary
 from docquarry.llm.sql import SQL
 from docquarry.model.ast import read_tree, text_strings
-from docquarry.runtime import table
+from docquarry.runtime import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 __all__ = ["QUERIES", "SQL"]
@@ -48,15 +48,17 @@ def p1_line_counts(spark: SparkSession, d: str) -> DataFrame:
     """Excessive lines with their distinct document clusters and publication dates.
 
     Pages delivered again or copied to another path are one cluster (equal lines in
-    equal order); a cluster's date is the first day any of its paths was fetched.
+    equal order, however the body is encoded); a cluster's date is the first day any of its paths was fetched.
     """
     pages, stored = table(spark, d, "pages"), table(spark, d, "stored_pages")
-    lines = repeatedlines.keyed_lines(stored, "page_id", "source_id", F.xxhash64("path"), "body")
-    content = stored.select(F.col("page_id").alias("doc_id"), F.xxhash64("body").alias("copy"), F.xxhash64("path").alias("cluster"), F.col("source_id").alias("source"))
-    first = pages.groupBy(F.col("source_id").alias("source"), F.xxhash64(F.regexp_replace("path", "^/", "")).alias("cluster")).agg(F.to_date(F.min("fetched_at")).alias("date"))
-    dated = content.join(first, ["source", "cluster"], "left").groupBy("source", "copy").agg(F.min("date").alias("date"))
-    one = content.join(dated, ["source", "copy"]).select("doc_id", F.col("copy").alias("cluster"), "date")
-    counts = repeatedlines.line_counts(lines.drop("cluster").join(one, "doc_id"), dates=True)
+    lines = cut(repeatedlines.keyed_lines(stored, "page_id", "source_id", None, "body"))
+    paths = stored.select(F.col("page_id").alias("doc_id"), F.xxhash64("path").alias("path"))
+    first = pages.groupBy(F.col("source_id").alias("__s"), F.xxhash64(F.regexp_replace("path", "^/", "")).alias("path")).agg(F.to_date(F.min("fetched_at")).alias("date"))
+    held = lines.where("line_key is null").select("doc_id", "source", "cluster").join(paths, "doc_id").alias("l")
+    met = held.join(first.alias("f"), (F.col("l.path") == F.col("f.path")) & F.col("source").eqNullSafe(F.col("__s")), "left")
+    dated = met.groupBy(F.col("source").alias("__s"), F.col("cluster").alias("__c")).agg(F.min("date").alias("date"))
+    one = lines.join(dated, (F.col("cluster") == F.col("__c")) & F.col("source").eqNullSafe(F.col("__s")))
+    counts = repeatedlines.line_counts(one, dates=True)
     return repeatedlines.excessive(counts).select("source", "line_key", "n_clusters", "n_dates", "n_total")
 
 

@@ -57,6 +57,19 @@ def test_copies_of_one_document_are_one_cluster(spark):
     assert repeatedlines.repeated_line_cases(df, "page_id", "source_id", F.xxhash64("path"), "body").collect() == []
 
 
+def test_copies_in_other_encodings_are_one_cluster(spark, tmp_path):
+    pages = [[f"own line {chr(97 + i)}", "boiler plate"] for i in range(6)]
+    first, second = body(*pages[0]), body(*pages[1])
+    data = [(i, "s", f"p{i}", body(*x)) for i, x in enumerate(pages)]
+    data += [(10, "s", "twice", json.dumps(first)), (11, "s", "pretty", json.dumps(json.loads(first), indent=2)), (12, "s", "both", json.dumps(json.dumps(json.loads(second), indent=1)))]
+    data += [(13, "s", "p0", first), (14, "s", "cut off", first[:-1]), (15, "s", "moved", body(*pages[0][::-1]))]
+    spark.createDataFrame(data, "page_id long, source_id string, path string, body string").write.parquet(f"{tmp_path}/stored_pages.parquet")
+    dates = [(("/" if i % 2 else "") + x[2], f"2025-01-0{1 + i // 4} 10:00:00") for i, x in enumerate(data)]
+    spark.createDataFrame([("s", *x) for x in dates], "source_id string, path string, at string").selectExpr("source_id", "path", "cast(at as timestamp) as fetched_at").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {tuple(r)[2:] for r in QUERIES["p1_line_counts"](spark, str(tmp_path)).collect()}
+    assert got == {(7, 3, 7)}  # the boiler plate: seven clusters, first fetched on three days, of seven
+
+
 # Near duplicates
 
 
