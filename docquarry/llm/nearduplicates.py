@@ -39,8 +39,8 @@ from docquarry.runtime import cut, maybe_broadcast
 
 #: Signature slots (a prime), bands and slots of a band.
 SLOTS, BANDS, ROWS = 211, 52, 4
-#: Classes up to this size are expanded into all their pairs; greater ones are
-#: written as links of their least id, and their members by p3_groups.
+#: Records of equal text up to this number are expanded into all their pairs; more
+#: are written as links of their least id. Pairs of differing texts always are pairs.
 COPY_PAIRS = 256
 _MAX = np.uint64(2**64 - 1)
 _CACHE: dict[str, int] = {}
@@ -135,13 +135,15 @@ _STEP = 512
 
 
 def features(df: DataFrame, id_col: str, text_col: str, words_of: Callable[[str | None], list[str] | None], k: int) -> DataFrame:
-    """(id, print, n, shingles, bands) of every record; n is 0 without a shingle."""
+    """(id, print, same, n, shingles, bands) of every record; n is 0 without a shingle,
+    print is of the set, same of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, _STEP):
                 b = whole.slice(start, _STEP)
-                sets = [shingle_hashes(word_hashes(words_of(t) or []), k) for t in b.column("text").to_pylist()]
+                texts = b.column("text").to_pylist()
+                sets = [shingle_hashes(word_hashes(words_of(t) or []), k) for t in texts]
                 n = np.array([len(s) for s in sets])
                 doc = np.repeat(np.arange(len(sets)), n)
                 flat = np.concatenate(sets)
@@ -150,18 +152,18 @@ def features(df: DataFrame, id_col: str, text_col: str, words_of: Callable[[str
                 small = [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets]
                 full = [x if c else x[:0] for x, c in zip(bands.view(np.int64), n)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), pa.array(prints, pa.binary()), pa.array([len(s) for s in small], pa.int32()), _list_array(small, pa.int32()), _list_array(full, pa.int64())], ["id", "print", "n", "shingles", "bands"]
+                    [b.column("id"), pa.array(prints, pa.binary()), pa.array([xxhash.xxh3_128_digest(t or "") for t in texts], pa.binary()), pa.array([len(s) for s in small], pa.int32()), _list_array(small, pa.int32()), _list_array(full, pa.int64())], ["id", "print", "same", "n", "shingles", "bands"]
                 )
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, print binary, n int, shingles array<int>, bands array<long>")
+    return rows.mapInArrow(run, "id long, print binary, same binary, n int, shingles array<int>, bands array<long>")
 
 
 def classes(feats: DataFrame) -> DataFrame:
-    """(id, rep, size): records of equal shingle sets share the least id of them."""
+    """(id, rep, size, same): records of equal shingle sets share the least id of them."""
     some = feats.where("n > 0")
     reps = some.groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
-    return some.select("id", "print").join(reps, "print").select("id", "rep", "size")
+    return some.select("id", "print", "same").join(reps, "print").select("id", "rep", "size", "same")
 
 
 def similar_classes(feats: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
@@ -183,19 +185,24 @@ def similar_classes(feats: DataFrame, member: DataFrame, threshold: float) -> Da
 
 
 def similar_pairs(df: DataFrame, id_col: str, text_col: str, words_of: Callable, k: int, threshold: float) -> DataFrame:
-    """All pairs (a < b) of records at ``threshold`` or above, copies included."""
+    """All pairs (a < b) of records at ``threshold`` or above, copies included, but for
+    texts of more than COPY_PAIRS equal records, which are linked to their least id."""
     feats = cut(features(df, id_col, text_col, words_of, k))
     member = cut(classes(feats))
     links = similar_classes(feats, member, threshold)
-    shown = member.where((F.col("size") <= COPY_PAIRS) | (F.col("id") == F.col("rep")))
-    one = shown.select(F.col("rep").alias("rep_a"), F.col("id").alias("x"))
-    two = shown.select(F.col("rep").alias("rep_b"), F.col("id").alias("y"))
+    one = member.select(F.col("rep").alias("rep_a"), F.col("id").alias("x"))
+    two = member.select(F.col("rep").alias("rep_b"), F.col("id").alias("y"))
     across = links.join(one, "rep_a").join(two, "rep_b").select("x", "y")
-    many = member.where("size > 1")
-    small, big = many.where(F.col("size") <= COPY_PAIRS), many.where(F.col("size") > COPY_PAIRS)
-    copies = small.select("rep", F.col("id").alias("x")).join(small.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
-    stars = big.where("id > rep").select(F.col("rep").alias("x"), F.col("id").alias("y"))
-    return across.unionByName(copies).unionByName(stars).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    many = member.where("size > 1").select("id", "rep", "same")
+    texts = cut(many.groupBy("rep", "same").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    # equal sets, differing texts: pairs of texts, then of their records
+    t = texts.select("rep", F.col("same").alias("t_a")).join(texts.select("rep", F.col("same").alias("t_b")), "rep").where("t_a < t_b")
+    inside = t.join(many.select("rep", F.col("same").alias("t_a"), F.col("id").alias("x")), ["rep", "t_a"]).join(many.select("rep", F.col("same").alias("t_b"), F.col("id").alias("y")), ["rep", "t_b"]).select("x", "y")
+    known = many.join(texts, ["rep", "same"])
+    small = known.where(F.col("n") <= COPY_PAIRS)
+    copies = small.select("rep", "same", F.col("id").alias("x")).join(small.select("rep", "same", F.col("id").alias("y")), ["rep", "same"]).where("x < y").select("x", "y")
+    stars = known.where(F.col("n") > COPY_PAIRS).where("id > first").select(F.col("first").alias("x"), F.col("id").alias("y"))
+    return across.unionByName(inside).unionByName(copies).unionByName(stars).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def similar_groups(df: DataFrame, id_col: str, text_col: str, words_of: Callable, k: int, threshold: float) -> DataFrame:

@@ -117,6 +117,14 @@ def test_many_copies_give_links_not_all_pairs(spark):
     assert got == [(0, i) for i in sorted(range(1, n), key=lambda i: repr((0, i)))]
 
 
+def test_pairs_of_differing_texts_are_whole_however_many(spark):
+    n, text = nearduplicates.COPY_PAIRS + 2, "a b c d e f g h i j"
+    data = [(i, body(text)) for i in range(n)] + [(1000, body(text.upper())), (1001, body(text + ".")), (1002, body(text + ".")), (2000, body(text + " k"))]
+    got = rows(nearduplicates.similar_pairs(spark.createDataFrame(data, "page_id long, body string"), "page_id", "body", body_words, 3, 0.6))
+    exp = [(0, i) for i in range(1, n)] + [(i, j) for i in range(n) for j in (1000, 1001, 1002, 2000)] + list(itertools.combinations((1000, 1001, 1002, 2000), 2))
+    assert got == sorted(exp, key=repr)
+
+
 def test_superminhash_estimates_similarity():
     r = np.random.default_rng(1)
     for share in (0.3, 0.6, 0.9):
