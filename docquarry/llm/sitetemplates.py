@@ -6,7 +6,9 @@
    with the hashes of the element subtrees it lies in.
 2. A subtree has two hashes: of its tag, classes and text (a copy), and, where it
    has classes, of its tag and classes only (a slot of the template that is filled
-   anew on every page). Hashes are counted over the distinct pages of a host.
+   anew on every page). A slot with a sentence or more outside its links also needs
+   the letters of that text to recur: a template fills in titles, links and numbers,
+   an author writes anew. Hashes are counted over the distinct pages of a host.
 3. Subtrees recurring across many pages of their host are deleted. A subtree that
    holds the page's title heading never is, however often it recurs.
 
@@ -38,6 +40,9 @@ from docquarry.sources.htmltree import VOID, Tree
 #: Least pages and least share of a host's pages on which a subtree recurs.
 MIN_SLOT_PAGES, MIN_COPY_PAGES, MIN_SHARE = 2, 3, 0.05
 
+#: Words outside links from which a slot's own text counts.
+SENTENCE_WORDS = 8
+
 # Kinds of elements.
 BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li pre th td dt dd".split())
 CELLS = frozenset("td th dt dd".split())
@@ -45,6 +50,7 @@ UNREAD = frozenset("script style title textarea noscript template svg iframe hea
 FURNITURE = frozenset("nav aside header footer button form dialog menu".split())
 INLINE = frozenset("a abbr b bdi bdo cite code dfn em font i kbd label mark q s samp small span strong sub sup time tt u var".split())
 _READ = re.compile("class|hidden|style", re.I)
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 _CONCEALED = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
@@ -67,10 +73,13 @@ def segments(text: str | None, drop_classes: frozenset) -> Segments:
     tag, up, attrs, content = page.tag, page.up, page.attrs, page.content
     wraps = set()  # elements around a block
     whole = [""] * len(tag)  # texts of the subtrees
+    plain = [""] * len(tag)  # those outside links
     for e in range(len(tag) - 1, 0, -1):
         if tag[e] in BLOCKS or e in wraps:
             wraps.add(up[e])
         whole[e] = "".join([x if isinstance(x, str) else whole[x] for x in content[e]]) + " "
+        if tag[e] != "a" and tag[e] not in UNREAD:
+            plain[e] = "".join([x if isinstance(x, str) else plain[x] for x in content[e]]) + " "
     kept_title = set()
     if "h1" in tag:
         e = tag.index("h1")
@@ -114,7 +123,8 @@ def segments(text: str | None, drop_classes: frozenset) -> Segments:
                 # a data cell that repeats is data, not template
                 keys = [] if t in CELLS and x not in wraps else [_hash(t, *classes, " ".join(whole[x].split())) | 1]
                 if classes:
-                    keys.append(_hash(t, *classes) & ~1)
+                    said = len(plain[x].split()) >= SENTENCE_WORDS
+                    keys.append(_hash(t, *classes, *(["", _NO_LETTERS.sub("", plain[x])] if said else [])) & ~1)
                 if keys:
                     around = around + [hashes.setdefault(k, len(hashes)) for k in keys]
             if t in BLOCKS:

@@ -229,6 +229,22 @@ def test_site_templates(spark):
     assert sitetemplates.main_lines(df.limit(0), "raw_id", "host", "address", "html").collect() == []
 
 
+def test_classed_blocks_of_an_author_stay(spark):
+    r, data, want = random.Random(12), [], {}
+    say = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    for i in range(40):
+        lead, note, code = say(12), say(20), say(9)
+        want[i] = {f"T {i}", lead, note, code}
+        stamp = f"This page was changed {i} days ago and has been seen {i * 7} times"
+        more = f"<div class=more><p>See also</p>{''.join(f'<p><a href=/{say(1)}>{say(12)}</a></p>' for _ in range(i % 4 + 1))}</div>"
+        data.append((i, "h", f"/{i}", f"<body><div class=doc><h1>T {i}</h1></div><p class=lead>{lead}</p><div class=admonition><p>{note}</p></div><div class=highlight><pre>{code}</pre></div><div class=stamp><p>{stamp}</p></div>{more}"))
+    df = spark.createDataFrame(data, "raw_id long, host string, address string, html string")
+    got = collections.defaultdict(set)
+    for x in sitetemplates.main_lines(df, "raw_id", "host", "address", "html").collect():
+        got[x.id].add(x.main_line)
+    assert got == want
+
+
 def test_a_page_fetched_often_is_no_template(spark):
     page = "<h1>T</h1><div class=a><p>x</p></div>"
     df = spark.createDataFrame([(i, "h", "/same", page) for i in range(20)], "raw_id long, host string, address string, html string")
