@@ -25,11 +25,14 @@ from docquarry.operators.reconcile import CrawlOutcome, diff, prune_missing, ups
 PAGE_COLUMNS = ("source_id", "path", "title", "description", "body", "content_hash", "fetched_at", "ordinal")
 
 
-def process(fetched: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+def process(fetched: DataFrame, kinds: DataFrame | None = None, manifest: DataFrame | None = None) -> DataFrame:
     """Stored pages of fetched ones (source_id, url, html, fetched_at, ordinal).
 
     ``kinds`` (source_id, kind) names the sources' generators. The hash is that of the
     delivered html. Of pages with one path the one with the highest ordinal stays.
+    ``manifest`` (source_id, url, name) names the stored copies of images, as
+    :func:`docquarry.sources.store.assets` gives them; images without one, so all where
+    there is no manifest, become placeholders.
     """
     rows = fetched.join(kinds.select("source_id", "kind"), "source_id", "left") if kinds is not None else fetched.withColumn("kind", F.lit(None).cast("string"))
     rows = rows.withColumn("path", page_path("url")).withColumn("content_hash", content_hash("html"))
@@ -39,10 +42,14 @@ def process(fetched: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     parsed = parse_pages(one, keep, kind=F.col("kind"))
     targets = parsed.select("source_id", "path", F.explode("links").alias("link")).select("source_id", F.col("path").alias("src"), page_path("link").alias("path"))
     held = targets.join(parsed.select("source_id", "path"), ["source_id", "path"], "left_semi").groupBy("source_id", F.col("src").alias("path")).agg(F.collect_set(F.col("path")).alias("held"))
-    met = parsed.join(held, ["source_id", "path"], "left")
+    local = parsed if manifest is None else localize_images(parsed, manifest)
+    met = local.join(held, ["source_id", "path"], "left")
+    none_held = manifest is None
 
     def make(body: str, url: str, paths: list[str] | None) -> list[tuple]:
-        return [(json.dumps(relink(read_tree(body), url, frozenset(paths or ()), page_path_of), ensure_ascii=False),)]
+        tree = read_tree(body)
+        tree = localize(tree, {}) if none_held else tree
+        return [(json.dumps(relink(tree, url, frozenset(paths or ()), page_path_of), ensure_ascii=False),)]
 
     out = {k: v for k, v in keep.items() if k != "url"} | {"title": "string", "description": "string"}
     return map_rows(met, out, {"body": F.col("body"), "url": F.col("url"), "held": F.col("held")}, {"body": "string"}, make).select(*PAGE_COLUMNS)
@@ -71,10 +78,10 @@ class Pull:
     index: Index
 
 
-def pull(old: DataFrame, fetched: DataFrame, outcome: CrawlOutcome, kinds: DataFrame | None = None) -> Pull:
+def pull(old: DataFrame, fetched: DataFrame, outcome: CrawlOutcome, kinds: DataFrame | None = None, manifest: DataFrame | None = None) -> Pull:
     """Put a crawl's pages over the stored ones of the same source, prune if that is
     safe, and say what changed. ``old`` holds one source."""
-    new = process(fetched, kinds)
+    new = process(fetched, kinds, manifest)
     merged = upsert(old, new, ["source_id", "path"], ["ordinal"])
     kept = prune_missing(merged, new, outcome)
     return Pull(kept, diff(kept, old), index_of(kept))

@@ -288,6 +288,21 @@ def test_pull(spark):
     assert rows(kept.changes) == [("s", "a.html", "update"), ("s", "b.html", "keep")]
 
 
+def test_pulled_pages_hold_no_remote_images(spark):
+    shape = "source_id string, url string, html string, fetched_at timestamp, ordinal int"
+    site = [("s", "https://x.org/g/a.html", "<main><h1>A</h1><img src='i.png' alt=I><img src='https://y.org/j.png' alt=J><a href='b.html'>b</a></main>", None, 0), ("s", "https://x.org/g/b.html", "<main><h1>B</h1></main>", None, 1), ("t", "https://t.org/a.html", "<main><img src='https://x.org/g/i.png'></main>", None, 0)]
+    fetched = spark.createDataFrame(site, shape)
+    images = [("s", "https://x.org/g/i.png", "image/png", b"aa", 1), ("s", "https://y.org/j.png", "text/html", b"x", 2)]
+    manifest = store.assets(spark.createDataFrame(images, "source_id string, url string, content_type string, body binary, ord int"))
+    name = manifest.where("kept").first().name
+    old = spark.createDataFrame([], "source_id string, path string, title string, description string, body string, content_hash string, fetched_at timestamp, ordinal int")
+    got = {r.source_id + r.path: r.body for r in ingest.pull(old, fetched, reconcile.CrawlOutcome(1), manifest=manifest).pages.collect()}
+    assert f'"src": "{name}"' in got["sg/a.html"] and "image unavailable offline: J" in got["sg/a.html"] and '"href": "g/b.html"' in got["sg/a.html"]
+    assert not any("x.org" in b or "y.org" in b for b in got.values()) and "unavailable" in got["ta.html"]
+    bare = {r.source_id + r.path: r.body for r in ingest.process(fetched).collect()}
+    assert bare["sg/a.html"].count("image unavailable offline") == 2 and '"src"' not in bare["sg/a.html"]
+
+
 def test_streams(spark, tmp_path):
     shape = "source_id string, path string, content_hash string, fetched_at timestamp"
     t = dt.datetime(2025, 1, 1, 0, 5)
