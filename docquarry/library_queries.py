@@ -204,8 +204,10 @@ def list_sources_nocase(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select source_id, path, ordinal, row_number() over (partition by source_id order by ordinal, path, fetched_at, content_hash) as place from pages where snapshot_no = 5")
 def list_pages_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of the latest snapshot in their order."""
+    latest = _last_two(spark, d)[0]
     order = W.partitionBy("source_id").orderBy("ordinal", "path", "fetched_at", "content_hash")
-    return table(spark, d, "pages").where("snapshot_no = 5").select("source_id", "path", "ordinal", F.row_number().over(order).alias("place"))
+    return table(spark, d, "pages").where(F.col("snapshot_no") == F.lit(latest).cast("int")).select("source_id", "path", "ordinal", F.row_number().over(order).alias("place"))
 
 
 @query("select source_id, ordinal, path from pages order by source_id, ordinal, path limit 200 offset 400")
@@ -249,8 +251,15 @@ _LATEST_SQL = """
     old as (select * from one where snapshot_no = 4), new as (select * from one where snapshot_no = 5)"""
 
 
-def _snapshot(spark: SparkSession, d: str, n: int) -> DataFrame:
-    rows = table(spark, d, "pages").where(F.col("snapshot_no") == n).select("source_id", ids.clean_path("path").alias("path"), "fetched_at", ids.clean_hash("content_hash").alias("content_hash"))
+def _last_two(spark: SparkSession, d: str) -> tuple[int | None, int | None]:
+    """Numbers of the latest snapshot and of the one before, null where there is none."""
+    found = table(spark, d, "pages").select("snapshot_no").dropna().distinct().orderBy(F.desc("snapshot_no")).limit(2).collect()
+    latest, before = ([r.snapshot_no for r in found] + [None, None])[:2]
+    return latest, before
+
+
+def _snapshot(spark: SparkSession, d: str, n: int | None) -> DataFrame:
+    rows = table(spark, d, "pages").where(F.col("snapshot_no") == F.lit(n).cast("int")).select("source_id", ids.clean_path("path").alias("path"), "fetched_at", ids.clean_hash("content_hash").alias("content_hash"))
     return rows.groupBy("source_id", "path").agg(F.max(F.struct("fetched_at", "content_hash")).alias("m")).select("source_id", "path", "m.content_hash")
 
 
@@ -259,18 +268,21 @@ def _snapshot(spark: SparkSession, d: str, n: int) -> DataFrame:
         case when o.path is null then 'add' when n.path is null then 'remove' when n.h is not distinct from o.h then 'keep' else 'update' end as action
     from new n full join old o on n.source_id = o.source_id and n.path = o.path""")
 def index_diff(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.diff(_snapshot(spark, d, 5), _snapshot(spark, d, 4))
+    latest, before = _last_two(spark, d)
+    return reconcile.diff(_snapshot(spark, d, latest), _snapshot(spark, d, before))
 
 
 @query(_LATEST_SQL + "select source_id, path, h as content_hash from old o where exists (select 1 from new n where n.source_id = o.source_id and n.path = o.path)")
 def prune_missing(spark: SparkSession, d: str) -> DataFrame:
-    new = _snapshot(spark, d, 5)
-    return reconcile.prune_missing(_snapshot(spark, d, 4), new, reconcile.CrawlOutcome(1))
+    latest, before = _last_two(spark, d)
+    new = _snapshot(spark, d, latest)
+    return reconcile.prune_missing(_snapshot(spark, d, before), new, reconcile.CrawlOutcome(1))
 
 
 @query(_LATEST_SQL + "select source_id, path, h as content_hash from new union all select source_id, path, h from old o where not exists (select 1 from new n where n.source_id = o.source_id and n.path = o.path)")
 def upsert_pages(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.upsert(_snapshot(spark, d, 4), _snapshot(spark, d, 5), ["source_id", "path"])
+    latest, before = _last_two(spark, d)
+    return reconcile.upsert(_snapshot(spark, d, before), _snapshot(spark, d, latest), ["source_id", "path"])
 
 
 @query("""
@@ -283,7 +295,7 @@ def index_db_agreement(spark: SparkSession, d: str) -> DataFrame:
 @query("select name, case when w is null then 'missing' when g is null then 'orphan' when g = w then 'pass' else 'mismatch' end as state from (" + _LATEST_SQL + "select coalesce(n.source_id, o.source_id) || ' ' || coalesce(n.path, o.path) as name, n.h as g, o.h as w from new n full join old o on n.source_id = o.source_id and n.path = o.path)")
 def golden_diff(spark: SparkSession, d: str) -> DataFrame:
     """The latest pages as outputs, the ones before as goldens."""
-    new, old = (_snapshot(spark, d, n).select(F.concat_ws(" ", "source_id", "path").alias("name"), F.col("content_hash").alias("value")) for n in (5, 4))
+    new, old = (_snapshot(spark, d, n).select(F.concat_ws(" ", "source_id", "path").alias("name"), F.col("content_hash").alias("value")) for n in _last_two(spark, d))
     return evaluation.golden(new, old)
 
 

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry import library_queries, queries  # noqa: F401 - the first registers its queries
 from docquarry.operators import catalog, evaluation, graph, index, reconcile, search
 from docquarry.plans import ingest
 from docquarry.plans.library import Library
@@ -303,6 +304,18 @@ def test_pulled_pages_hold_no_remote_images(spark):
     assert bare["sg/a.html"].count("image unavailable offline") == 2 and '"src"' not in bare["sg/a.html"]
 
 
+def test_snapshot_queries_follow_the_numbers_of_the_data(spark, tmp_path):
+    shape = "snapshot_no int, source_id string, path string, content_hash string, fetched_at timestamp, ordinal int"
+    t = dt.datetime(2025, 1, 1)
+    made = [(2, "s", "x", "0", t, 0), (7, "s", "a", "1", t, 0), (7, "s", "b", "1", t, 1), (9, "s", "a", "2", t, 0), (9, "s", "c", "1", t, 1)]
+    spark.createDataFrame(made, shape).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {q: rows(queries.QUERIES[q](spark, str(tmp_path))) for q in ("index_diff", "prune_missing", "upsert_pages", "golden_diff", "list_pages_ordered")}
+    assert got["index_diff"] == [("s", "a", "update"), ("s", "b", "remove"), ("s", "c", "add")]
+    assert [r[:2] for r in got["prune_missing"]] == [("s", "a")] and [r[:2] for r in got["upsert_pages"]] == [("s", "a"), ("s", "b"), ("s", "c")]
+    assert got["golden_diff"] == [("s a", "mismatch"), ("s b", "orphan"), ("s c", "missing")]
+    assert got["list_pages_ordered"] == [("s", "a", 0, 1), ("s", "c", 1, 2)]
+
+
 def test_streams(spark, tmp_path):
     shape = "source_id string, path string, content_hash string, fetched_at timestamp"
     t = dt.datetime(2025, 1, 1, 0, 5)
