@@ -490,6 +490,12 @@ def page_markdown(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_markdown(table(spark, d, "stored_pages"), _PAGE)
 
 
+@query()
+def page_markdown_cut(spark: SparkSession, d: str) -> DataFrame:
+    """The same, cut to a bounded size."""
+    return pages.page_markdown_cut(table(spark, d, "stored_pages"), _PAGE)
+
+
 @query()
 def page_html(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_html(table(spark, d, "stored_pages"), _PAGE)

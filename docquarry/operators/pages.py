@@ -95,9 +95,22 @@ def page_outline(df: DataFrame, keep: dict[str, str], body: str = "body") -> Dat
     return map_rows(df, keep, {"text": F.col(body)}, {"ord": "int", "level": "int", "id": "string", "text": "string", "parent": "int"}, make)
 
 
-def page_markdown(df: DataFrame, keep: dict[str, str], body: str = "body", limit: int = render.MARKDOWN_BYTES) -> DataFrame:
-    """markdown (cut at ``limit`` bytes) and whether it was cut, of readable pages."""
-    return map_rows(df, keep, {"text": F.col(body)}, {"markdown": "string", "truncated": "boolean"}, lambda text: [] if (t := read_tree(text)) is None else [render.cut_markdown(render.to_markdown(t), limit)])
+def page_markdown(df: DataFrame, keep: dict[str, str], body: str = "body", limit: int | None = None) -> DataFrame:
+    """markdown of readable pages, whole unless a ``limit`` in bytes is given, and whether it was cut."""
+
+    def make(text: str | None) -> list[tuple]:
+        tree = read_tree(text)
+        if tree is None:
+            return []
+        whole = render.to_markdown(tree)
+        return [(whole, False) if limit is None else render.cut_markdown(whole, limit)]
+
+    return map_rows(df, keep, {"text": F.col(body)}, {"markdown": "string", "truncated": "boolean"}, make)
+
+
+def page_markdown_cut(df: DataFrame, keep: dict[str, str], body: str = "body", limit: int = render.MARKDOWN_BYTES) -> DataFrame:
+    """As page_markdown, cut at ``limit`` bytes for a surface of bounded size."""
+    return page_markdown(df, keep, body, limit)
 
 
 def page_html(df: DataFrame, keep: dict[str, str], body: str = "body") -> DataFrame:

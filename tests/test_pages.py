@@ -149,6 +149,14 @@ def test_page_operators_on_messy_rows(spark):
     assert rows(pages.find_in_page(df, keep, "E S")) == [(1, 0, 2)]
 
 
+def test_markdown_is_whole_unless_asked(spark):
+    doc = {"type": "document", "children": [{"type": "paragraph", "children": [text(f"word {i} " * 10)]} for i in range(2000)]}
+    df = spark.createDataFrame([(1, json.dumps(doc))], "page_id long, body string")
+    whole, cut = (op(df, {"page_id": "long"}).first() for op in (pages.page_markdown, pages.page_markdown_cut))
+    assert whole.markdown == render.to_markdown(doc) and not whole.truncated and "word 1999" in whole.markdown
+    assert cut.truncated and len(cut.markdown.encode()) <= render.MARKDOWN_BYTES and whole.markdown.startswith(cut.markdown)
+
+
 def test_parse_operator(spark):
     df = spark.createDataFrame([(1, "<main><h1>A</h1><a href=/b>b</a></main>", BASE), (2, None, None)], "raw_id long, html string, url string")
     got = rows(pages.parse_pages(df, {"raw_id": "long"}))
