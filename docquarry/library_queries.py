@@ -112,7 +112,7 @@ _PLAIN_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('
 
 @query(f"select item_id, {_PLAIN_SQL} as q from eval_items where text not like '%\"%'")
 def plain_text_query(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "eval_items").where("text not like '%\"%'").select("item_id", text.plain_text_query("text").alias("q"))
+    return table(spark, d, "eval_items").select("item_id", text.plain_text_query("text").alias("q"))
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in text.QUESTION_WORDS + text.FUNCTION_WORDS)

@@ -316,6 +316,12 @@ def test_snapshot_queries_follow_the_numbers_of_the_data(spark, tmp_path):
     assert got["list_pages_ordered"] == [("s", "a", 0, 1), ("s", "c", 1, 2)]
 
 
+def test_plain_queries_keep_quoted_items(spark, tmp_path):
+    made = [(1, 'say "a b" AND c'), (2, 'odd " quote'), (3, "none"), (4, None)]
+    spark.createDataFrame(made, "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    assert rows(queries.QUERIES["plain_text_query"](spark, str(tmp_path))) == [(1, 'say "a b" and c'), (2, "odd quote"), (3, "none"), (4, None)]
+
+
 def test_streams(spark, tmp_path):
     shape = "source_id string, path string, content_hash string, fetched_at timestamp"
     t = dt.datetime(2025, 1, 1, 0, 5)
