@@ -373,13 +373,13 @@ def test_subjects(spark):
     assert subjects.subjects(d.limit(0), lab, names).collect() == [] and subjects.subjects(d, lab.limit(0), names).collect() == []
 
 
-def test_labels_reach_terms_of_unlabelled_documents(spark):
+def test_labels_travel_over_unlabelled_documents(spark):
     r = random.Random(11)
-    common, law, sport, far = ([f"{k}{chr(97 + i)}word" for i in range(12)] for k in ("gen", "law", "sport", "bail"))
+    common, law, sport, far = ([f"{k}{chr(97 + i)}{chr(97 + j)}word" for i in range(n) for j in range(12)] for k, n in (("gen", 40), ("law", 1), ("sport", 1), ("bail", 1)))
     docs = [[*r.choices(common, k=40), *r.choices(own, k=8)] for own in (law, sport) for _ in range(60)]
     docs += [[*r.choices(common, k=40), *r.choices(law, k=8), *far] for _ in range(60)]
     docs += [[*r.choices(common, k=40), *far[:8]] for _ in range(6)]  # of law only over the documents before
-    docs += [r.choices(common, k=40) for _ in range(60)]
+    docs += [r.choices(common, k=40) for _ in range(1000)]
     d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
     lab = spark.createDataFrame([(i, "law" if i < 60 else "sport") for i in range(120)], "doc_id long, subject string")
     names = spark.createDataFrame([("law",), ("sport",)], "subject string")
@@ -387,6 +387,39 @@ def test_labels_reach_terms_of_unlabelled_documents(spark):
     assert got == {*range(60), *range(120, 186)}
 
 
+def test_hubs_carry_what_the_links_do():
+    """What a document receives over hubs, against the sum over every single link."""
+    r = random.Random(14)
+    n_terms, n_docs, n_subjects = 9, 40, 3
+    held = [sorted(r.sample(range(n_terms), r.randrange(2, 6))) for _ in range(n_docs)]
+    band = subjects.Band(np.arange(n_terms, dtype=np.int32), np.ones(n_terms, np.int64), n_docs)
+    linked = sorted(r.sample([a * n_terms + b for a in range(n_terms) for b in range(a + 1, n_terms)], 20))
+    hubs = subjects.Hubs(band, np.array(linked), np.zeros(20, np.int64))
+    labels = [set(r.sample(range(n_subjects), r.randrange(3))) for _ in range(n_docs)]
+    heard = np.array([bool(x) or r.random() < 0.5 for x in labels])
+    of = [{i for i, k in enumerate(linked) if k // n_terms in h and k % n_terms in h} for h in held]
+    entries = collections.Counter((h, s) for d in range(n_docs) for h in of[d] for s in labels[d])
+    count = np.array([sum(h in of[d] and heard[d] for d in range(n_docs)) for h in range(20)])
+    sums = subjects.Sums(count, *(np.array([f(e) for e in entries]) for f in (lambda e: e[0], lambda e: e[1], lambda e: entries[e])))
+    own, sizes = hubs.of(np.concatenate([np.array(h) for h in held]), np.array([len(h) for h in held]))
+    assert [set(x) for x in np.split(own, np.cumsum(sizes)[:-1])] == of
+    known = np.array(sorted(d * n_subjects + s for d in range(n_docs) for s in labels[d]))
+    got = {(int(a), int(t), int(s)): w for a, t, s, w in zip(*subjects.received(hubs, sums, np.repeat(np.arange(n_docs), sizes), own, known, heard.astype(np.int64), n_subjects)) if w > 0}
+    total, share = collections.Counter(), collections.Counter()
+    for a, b in itertools.permutations(range(n_docs), 2):
+        for h in of[a] & of[b] if heard[b] else ():  # the link from b to a
+            for t in (linked[h] // n_terms, linked[h] % n_terms):
+                total[a, t] += 1
+                share.update((a, t, s) for s in labels[b])
+    assert got.keys() == share.keys() and len(got) > 100
+    assert all(abs(got[k] - share[k] / (total[k[:2]] + subjects.SHRINK)) < 1e-12 for k in got)
+
+
+def test_pairs_of_long_texts_come_in_blocks():
+    i, j = (np.concatenate(x) for x in zip(*subjects._pairs(3000)))
+    assert len(i) == 3000 * 2999 // 2 and (i < j).all() and len(np.unique(i * 3000 + j)) == len(i)
+
+
 def test_queries_on_small_tables(spark, data):
     for name, f in QUERIES.items():
         f(spark, data).collect()
