@@ -11,18 +11,22 @@ import re
 import unicodedata
 
 _RUNS = re.compile(r"[^\W_]+")
-_DROP = {0xAD: None, 0x200B: None}
 #: ASCII: letters to lower case, digits kept, all else to a space.
 _ASCII = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 32 for c in range(256))
 
 
+def folded_form(text: str) -> str:
+    """NFKC without U+00AD and U+200B."""
+    return unicodedata.normalize("NFKC", text).replace("\u00ad", "").replace("\u200b", "")
+
+
 def words(text: str | None) -> list[str]:
     """Words of ``text`` in order; none for null or empty text."""
     if not text:
         return []
     if text.isascii():
         return text.encode().translate(_ASCII).decode().split()
-    folded = unicodedata.normalize("NFKC", text).translate(_DROP).lower()
+    folded = folded_form(text).lower()
     if folded.isascii():
         return folded.encode().translate(_ASCII).decode().split()
     return _RUNS.findall(folded)
