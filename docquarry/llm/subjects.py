@@ -35,6 +35,7 @@ judged for itself, and the id has the subjects of all of them.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.functions.words import words
+from docquarry.functions.words import folded_form
 from docquarry.runtime import cut, maybe_broadcast
 
 ROUNDS = 3
@@ -53,6 +54,8 @@ LEAST_TERM, MOST_TERM, LEANING_TERM, LEAST_PAIR = 0.002, 0.12, 0.5, 0.0004
 #: How much more often than by chance a leaning term goes with its subject, and the
 #: likelihood ratio of that; far fewer terms than pairs are tried, so it is lower than a pair's.
 LEAN, LEAN_RATIO = 1.5, 8.0
+#: z of the upper bound of a subject's share of a term; a term that can't reach MIN_WEIGHT links nothing.
+LEAD_Z = 2.0
 #: Least documents of a term and of a pair, and least likelihood ratio and lift of a pair.
 TERM_DOCS, PAIR_DOCS, LEAST_RATIO, LEAST_LIFT = 5, 3, 15.0, 2.0
 #: Least part of the closest partner's lift.
@@ -72,18 +75,38 @@ TRUST_SCORE = 1.0
 _CASE = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z])")
 
 
+#: ASCII: letters and digits kept, all else to a space.
+_ASCII = bytes(c if c < 128 and chr(c).isalnum() else 32 for c in range(256))
+_RUNS = re.compile(r"[^\W_]+")
+_KNOWN: dict[str, tuple[int, tuple[str, ...]]] = {}
+
+
+def _parts(run: str) -> tuple[int, tuple[str, ...]]:
+    """Words and terms of one run of letters and numbers."""
+    found = _CASE.sub(" ", run).lower().split()
+    own = [w[:-1] if w[-1] == "s" and len(w) > 4 else w for w in found if len(w) > 2 and not w[0].isdigit()]
+    return len(found), tuple(own)
+
+
 def terms(text: str | None) -> tuple[int, dict[str, int]]:
     """Number of words, and the terms with their occurrences: compound identifiers are
     split, a plural s is dropped, one- and two-letter words and numbers left out."""
     if not text:
         return 0, {}
-    found = words(_CASE.sub(" ", text))
-    n: dict[str, int] = {}
-    for w in found:
-        if len(w) > 2 and not w[0].isdigit():
-            w = w[:-1] if w[-1] == "s" and len(w) > 4 else w
-            n[w] = n.get(w, 0) + 1
-    return len(found), n
+    if not text.isascii():
+        text = folded_form(text)
+    runs = Counter(text.encode().translate(_ASCII).decode().split() if text.isascii() else _RUNS.findall(text))
+    if len(_KNOWN) > 500_000:
+        _KNOWN.clear()
+    total, n = 0, {}
+    for run, times in runs.items():
+        known = _KNOWN.get(run)
+        if known is None:
+            known = _KNOWN[run] = _parts(run)
+        total += known[0] * times
+        for w in known[1]:
+            n[w] = n.get(w, 0) + times
+    return total, n
 
 
 _HASHES: dict[str, int] = {}
@@ -139,7 +162,7 @@ _BLOCK = 2_000_000
 
 def _pairs(n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All i < j below ``n``, in blocks."""
-    if n <= 512:
+    if n <= 64:
         if n not in _TRIANGLES:
             _TRIANGLES[n] = np.triu_indices(n, 1)
         yield _TRIANGLES[n]
@@ -183,16 +206,22 @@ def _ratio(n, e):
 
 
 def _band(rows: DataFrame, seeds: DataFrame, total: int) -> Band:
-    """Terms that are neither rare nor frequent, and frequent ones that lean to a subject: one
-    subject may fill a third of the collection."""
+    """Terms that may carry a label: not rare, and neither frequent nor found without a
+    leading subject by the annotated documents; of the frequent ones those that lean to a
+    subject, for one subject may fill a third of the collection."""
     seen = cut(rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n").between(max(TERM_DOCS, LEAST_TERM * total), LEANING_TERM * total)))
-    often = seen.where(F.col("n") > MOST_TERM * total)
-    told = rows.join(maybe_broadcast(seeds), "doc").select("seeds", F.explode("terms").alias("term")).join(F.broadcast(often.select("term")), "term")  # at most mean terms of a text / MOST_TERM rows
-    with_term = told.groupBy("term").agg(F.count("*").alias("m"))
+    told = rows.join(maybe_broadcast(seeds), "doc").select("seeds", F.explode("terms").alias("term")).join(F.broadcast(seen), "term")  # at most mean terms of a text / LEAST_TERM rows
+    every = F.concat(F.array(F.lit(-1)), "seeds")
+    counts = cut(told.select("term", F.explode(every).alias("no")).groupBy("term", "no").agg(F.count("*").alias("k")))
+    with_term = counts.where("no < 0").select("term", F.col("k").alias("m"))
     base = seeds.select(F.explode("seeds").alias("no")).groupBy("no").agg((F.count("*") / F.lit(float(max(1, seeds.count())))).alias("share"))
-    per = told.select("term", F.explode("seeds").alias("no")).groupBy("term", "no").agg(F.count("*").alias("k")).join(with_term, "term").join(F.broadcast(base), "no").withColumn("e", F.col("m") * F.col("share"))  # one row per subject
-    leaning = per.where((F.col("k") >= LEAN * F.col("e")) & (_ratio(F.col("k"), F.col("e")) >= LEAN_RATIO)).select("term").distinct()
-    some = seen.where(F.col("n") <= MOST_TERM * total).unionByName(often.join(leaning, "term", "left_semi")).toArrow()
+    per = counts.where("no >= 0").join(with_term, "term").join(F.broadcast(base), "no").withColumn("e", F.col("m") * F.col("share"))  # one row per subject
+    p, m, z = F.col("k") / F.col("m"), F.col("m"), LEAD_Z
+    most = (p + z * z / (2 * m) + z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+    leaning = (F.col("k") >= LEAN * F.col("e")) & (_ratio(F.col("k"), F.col("e")) >= LEAN_RATIO)
+    judged = per.groupBy("term").agg(F.max(most).alias("most"), F.max(leaning).alias("leaning"))
+    often = F.col("n") > MOST_TERM * total
+    some = seen.join(judged, "term", "left").where(F.when(often, F.coalesce("leaning", F.lit(False))).otherwise(F.coalesce("most", F.lit(1.0)) >= MIN_WEIGHT)).select("term", "n").toArrow()
     return Band(np.asarray(some.column(0).combine_chunks()).astype(np.int32), np.asarray(some.column(1).combine_chunks()).astype(np.int64), total)
 
 
