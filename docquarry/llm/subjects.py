@@ -377,7 +377,7 @@ def _hub_sums(rows: DataFrame, judge, n_subjects: int) -> tuple[np.ndarray, np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = judge.value
-        for b in batches:
+        for b in _slices(batches):
             hub, sizes = _flat(b.column("hubs"))
             key, _, _, _ = ready.labels(b)
             row, subject = key // n_subjects, key % n_subjects
@@ -390,24 +390,32 @@ def _hub_sums(rows: DataFrame, judge, n_subjects: int) -> tuple[np.ndarray, np.n
     return entry // n_subjects, entry % n_subjects, n
 
 
+#: Documents that are judged at once.
+_STEP = 1024
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, _STEP):
+            yield whole.slice(start, _STEP)
+
+
 def compact_rows(rows: DataFrame, hubs) -> DataFrame:
     """(doc, n_words, seeds, numbers, counts, hubs): a document's spokes and the terms at their ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hubs.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                b = whole.slice(start, 2048)
-                at, numbers, sizes = known.band.own(*_flat(b.column("terms")))
-                hub, n = known.of(numbers, sizes)
-                counts = _flat(b.column("counts"))[0][at]
-                # only terms at the end of a spoke are kept
-                v = max(1, len(known.band.hashes))
-                row = np.repeat(np.arange(b.num_rows), n)
-                ends = np.unique(np.concatenate([row * v + known.low[hub], row * v + known.high[hub]]))
-                on = _member(np.repeat(np.arange(b.num_rows), sizes) * v + numbers, ends)
-                kept = np.bincount(np.repeat(np.arange(b.num_rows), sizes)[on], minlength=b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("n_words"), b.column("seeds"), _lists(numbers[on], kept, pa.int32()), _lists(counts[on], kept, pa.int32()), _lists(hub, n, pa.int32())], ["doc", "n_words", "seeds", "numbers", "counts", "hubs"])
+        for b in _slices(batches):
+            at, numbers, sizes = known.band.own(*_flat(b.column("terms")))
+            hub, n = known.of(numbers, sizes)
+            counts = _flat(b.column("counts"))[0][at]
+            # only terms at the end of a spoke are kept
+            v = max(1, len(known.band.hashes))
+            row = np.repeat(np.arange(b.num_rows), n)
+            ends = np.unique(np.concatenate([row * v + known.low[hub], row * v + known.high[hub]]))
+            on = _member(np.repeat(np.arange(b.num_rows), sizes) * v + numbers, ends)
+            kept = np.bincount(np.repeat(np.arange(b.num_rows), sizes)[on], minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("n_words"), b.column("seeds"), _lists(numbers[on], kept, pa.int32()), _lists(counts[on], kept, pa.int32()), _lists(hub, n, pa.int32())], ["doc", "n_words", "seeds", "numbers", "counts", "hubs"])
 
     made = rows.mapInArrow(run, "doc long, n_words int, seeds array<int>, numbers array<int>, counts array<int>, hubs array<int>")
     return made.where(F.size("hubs") > 0)
@@ -455,7 +463,7 @@ def subjects(docs: DataFrame, labels: DataFrame, listed: DataFrame, doc_id: str
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = judge.value
-        for b in batches:
+        for b in _slices(batches):
             key, score, density, seed = ready.labels(b)
             yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(key // n_subjects)), pa.array((key % n_subjects).astype(np.int32)), pa.array(score, pa.float64()), pa.array(density, pa.float64()), pa.array(seed, pa.bool_())], ["doc", "subject_no", "score", "density", "seed"])
 
