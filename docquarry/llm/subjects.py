@@ -332,60 +332,49 @@ def received(hubs: Hubs, sums: Sums, row: np.ndarray, hub: np.ndarray, own: np.n
 
 
 class Judge:
-    """Labels of a batch of compact rows after as many rounds as there are sums."""
+    """One round: the labels of a batch of compact rows by what their hubs say."""
 
-    def __init__(self, hubs: Hubs, rounds: list[Sums], n_subjects: int) -> None:
-        self.hubs, self.rounds, self.n = hubs, rounds, n_subjects
+    def __init__(self, hubs: Hubs, sums: Sums, n_subjects: int) -> None:
+        self.hubs, self.sums, self.n = hubs, sums, n_subjects
 
-    def labels(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row * n_subjects + subject, score, density, whether it is a seed), sorted."""
+    def labels(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, subject, score, density, whether it is a seed), sorted by row and subject."""
+        rows, v = np.arange(b.num_rows), max(1, len(self.hubs.band.hashes))
         hub, sizes = _flat(b.column("hubs"))
-        row, hub = np.repeat(np.arange(b.num_rows), sizes), hub.astype(np.int64)
         number, counts = _flat(b.column("numbers"))
-        occ = _flat(b.column("counts"))[0]
-        v = max(1, len(self.hubs.band.hashes))
-        spots = np.repeat(np.arange(b.num_rows), counts) * v + number
+        spots, occ = np.repeat(rows, counts) * v + number, _flat(b.column("counts"))[0]
         order = np.argsort(spots)
         spots, occ = spots[order], occ[order]
-        n_words = np.asarray(b.column("n_words"))
-        seed, seeds = _flat(b.column("seeds"))
-        seed = np.unique(np.repeat(np.arange(b.num_rows), seeds) * self.n + seed)
-        own, heard = seed, seeds > 0
-        got = (seed, np.zeros(len(seed)), np.zeros(len(seed)), np.ones(len(seed), np.bool_))
-        for sums in self.rounds:
-            r, t, s, w = received(self.hubs, sums, row, hub, own, heard.astype(np.int64), self.n)
-            most = np.zeros(len(r))
-            if len(r):  # terms come in runs
-                first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (t[1:] != t[:-1])]))
-                most = np.repeat(np.maximum.reduceat(w, first), np.diff(np.append(first, len(r))))
-            on = w >= np.maximum(MIN_WEIGHT, NEAR_WEIGHT * most)
-            r, t, s, w = r[on], t[on], s[on], w[on]
-            key, at = np.unique(r * self.n + s, return_inverse=True)
-            score = np.bincount(at, w, len(key))
-            said = occ[np.searchsorted(spots, r * v + t)] if len(r) else np.zeros(0)
-            density = np.bincount(at, w * said, len(key)) / np.maximum(1, n_words[key // self.n])
-            is_seed = _member(key, seed)
-            good = ((score >= MIN_SCORE) & (density >= MIN_DENSITY)) | (is_seed & (score >= TRUST_SCORE))
-            got = (key[good], score[good], density[good], is_seed[good])
-            own, heard = got[0], np.ones(b.num_rows, np.bool_)
-        return got
-
-
-def _hub_sums(rows: DataFrame, judge, n_subjects: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hub, subject, documents) of the current labels. An entry is hub * (subjects + 1) +
-    subject, and the last subject stands for the documents heard."""
+        seed, own = (np.unique(np.repeat(rows, n) * self.n + x) for x, n in map(_flat, (b.column("seeds"), b.column("labels"))))
+        r, t, s, w = received(self.hubs, self.sums, np.repeat(rows, sizes), hub.astype(np.int64), own, np.asarray(b.column("heard").cast(pa.int8())).astype(np.int64), self.n)
+        most = np.zeros(len(r))
+        if len(r):  # terms come in runs
+            first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (t[1:] != t[:-1])]))
+            most = np.repeat(np.maximum.reduceat(w, first), np.diff(np.append(first, len(r))))
+        on = w >= np.maximum(MIN_WEIGHT, NEAR_WEIGHT * most)
+        r, t, s, w = r[on], t[on], s[on], w[on]
+        key, at = np.unique(r * self.n + s, return_inverse=True)
+        score = np.bincount(at, w, len(key))
+        said = occ[np.searchsorted(spots, r * v + t)] if len(r) else np.zeros(0)
+        density = np.bincount(at, w * said, len(key)) / np.maximum(1, np.asarray(b.column("n_words"))[key // self.n])
+        is_seed = _member(key, seed)
+        good = ((score >= MIN_SCORE) & (density >= MIN_DENSITY)) | (is_seed & (score >= TRUST_SCORE))
+        return key[good] // self.n, key[good] % self.n, score[good], density[good], is_seed[good]
+
+
+def _hub_sums(rows: DataFrame, n_subjects: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hub, subject, documents) of the current labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = judge.value
         for b in _slices(batches):
             hub, sizes = _flat(b.column("hubs"))
-            key, _, _, _ = ready.labels(b)
-            row, subject = key // n_subjects, key % n_subjects
+            subject, labels = _flat(b.column("labels"))
+            row = np.repeat(np.arange(b.num_rows), labels)
             start = np.cumsum(sizes) - sizes
             spokes = hub[_spread(start[row], sizes[row])].astype(np.int64)
             yield _counted([spokes * n_subjects + np.repeat(subject, sizes[row])], ["entry", "n"])
 
-    summed = rows.mapInArrow(run, "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()
+    summed = rows.select("hubs", "labels").mapInArrow(run, "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()
     entry, n = (np.asarray(c.combine_chunks()).astype(np.int64) for c in summed.columns)
     return entry // n_subjects, entry % n_subjects, n
 
@@ -443,34 +432,47 @@ def subjects(docs: DataFrame, labels: DataFrame, listed: DataFrame, doc_id: str
 
     # what the annotated documents say, and the hubs in which they agree on nothing
     seeded = maybe_broadcast(seeds)
-    sent = spark.sparkContext.broadcast(every)
-    annotated = compact_rows(rows.join(seeded, "doc"), sent)
-    hub, no, k = _hub_sums(annotated, spark.sparkContext.broadcast(Judge(every, [], n_subjects)), n_subjects)
+    annotated = compact_rows(rows.join(seeded, "doc"), spark.sparkContext.broadcast(every)).withColumn("labels", F.col("seeds"))
+    hub, no, k = _hub_sums(annotated, n_subjects)
     heard = _heard(annotated, len(every.keys))
     lead = np.zeros(len(every.keys), np.int64)
     np.maximum.at(lead, hub, k)
     keep = (heard < HUB_DOCS) | (lead >= HUB_LEAD * heard)
     hubs, moved = every.kept(keep), np.cumsum(keep) - 1
     at = keep[hub]
-    sums = [Sums(heard[keep], moved[hub[at]], no[at], k[at])]
+    sums = Sums(heard[keep], moved[hub[at]], no[at], k[at])
 
     unseeded = F.coalesce("seeds", F.array().cast("array<int>"))
-    graph = cut(compact_rows(rows.join(seeded, "doc", "left").withColumn("seeds", unseeded), spark.sparkContext.broadcast(hubs)))
+    made = compact_rows(rows.join(seeded, "doc", "left").withColumn("seeds", unseeded), spark.sparkContext.broadcast(hubs))
+    graph = cut(made.select("*", F.col("seeds").alias("labels"), (F.size("seeds") > 0).alias("heard")))
     for _ in range(rounds - 1):
-        hub, no, k = _hub_sums(graph, spark.sparkContext.broadcast(Judge(hubs, list(sums), n_subjects)), n_subjects)
-        sums.append(Sums(hubs.n, hub, no, k))
-    judge = spark.sparkContext.broadcast(Judge(hubs, sums[:rounds], n_subjects))
+        graph = cut(_relabelled(graph, spark.sparkContext.broadcast(Judge(hubs, sums, n_subjects))))
+        sums = Sums(hubs.n, *_hub_sums(graph, n_subjects))
+    judge = spark.sparkContext.broadcast(Judge(hubs, sums, n_subjects))
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = judge.value
         for b in _slices(batches):
-            key, score, density, seed = ready.labels(b)
-            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(key // n_subjects)), pa.array((key % n_subjects).astype(np.int32)), pa.array(score, pa.float64()), pa.array(density, pa.float64()), pa.array(seed, pa.bool_())], ["doc", "subject_no", "score", "density", "seed"])
+            row, subject_no, score, density, seed = ready.labels(b)
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(row)), pa.array(subject_no.astype(np.int32)), pa.array(score, pa.float64()), pa.array(density, pa.float64()), pa.array(seed, pa.bool_())], ["doc", "subject_no", "score", "density", "seed"])
 
     told = graph.mapInArrow(final, "doc long, subject_no int, score double, density double, seed boolean").join(numbered, "subject_no")
     return told.groupBy("doc", "subject").agg(F.max("score").alias("score"), F.max("density").alias("density"), F.max("seed").alias("seed"))
 
 
+def _relabelled(rows: DataFrame, judge) -> DataFrame:
+    """The same rows with the labels of one more round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = judge.value
+        for b in _slices(batches):
+            row, subject_no, *_ = ready.labels(b)
+            labels = _lists(subject_no, np.bincount(row, minlength=b.num_rows), pa.int32())
+            yield b.set_column(b.schema.get_field_index("labels"), "labels", labels).set_column(b.schema.get_field_index("heard"), "heard", pa.array(np.ones(b.num_rows, np.bool_)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _heard(rows: DataFrame, n_hubs: int) -> np.ndarray:
     """Documents of every hub."""
     got = rows.select(F.explode("hubs").alias("hub")).groupBy("hub").agg(F.count("*").alias("n")).toArrow()
