@@ -4,11 +4,14 @@
    are left out (hidden ones, scripts, buttons, navigation, furniture classes of
    the site's profile). What remains are text segments of innermost blocks, each
    with the hashes of the element subtrees it lies in.
-2. A subtree has two hashes: of its tag, classes and text (a copy), and, where it
-   has classes, of its tag and classes only (a slot of the template that is filled
-   anew on every page). A slot with a sentence or more outside its links also needs
-   the letters of that text to recur: a template fills in titles, links and numbers,
-   an author writes anew. Hashes are counted over the distinct pages of a host.
+2. A subtree is known by its content, never by its place alone. It is hashed with its
+   tag, classes and text (a copy) and, where it has classes, with its text without
+   digits (a template's wording around changing numbers). A classed subtree of more
+   linked words than others is also hashed with what stands outside its links alone:
+   the fixed heading over a list of links that is filled anew on every page. What an
+   author writes under a class of the generator (a lead, a note, a listing) has
+   content of its own and recurs nowhere. Hashes are counted over the distinct pages
+   of a host.
 3. Subtrees recurring across many pages of their host are deleted. A subtree that
    holds the page's title heading never is, however often it recurs.
 
@@ -37,11 +40,8 @@ from pyspark.sql import functions as F
 from docquarry.runtime import cut, maybe_broadcast
 from docquarry.sources.htmltree import VOID, Tree
 
-#: Least pages and least share of a host's pages on which a subtree recurs.
-MIN_SLOT_PAGES, MIN_COPY_PAGES, MIN_SHARE = 2, 3, 0.05
-
-#: Words outside links from which a slot's own text counts.
-SENTENCE_WORDS = 8
+#: Least pages (of classed wording, of a copy) and least share of a host's pages on which a subtree recurs.
+MIN_WORDING_PAGES, MIN_COPY_PAGES, MIN_SHARE = 2, 3, 0.05
 
 # Kinds of elements.
 BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li pre th td dt dd".split())
@@ -50,7 +50,7 @@ UNREAD = frozenset("script style title textarea noscript template svg iframe hea
 FURNITURE = frozenset("nav aside header footer button form dialog menu".split())
 INLINE = frozenset("a abbr b bdi bdo cite code dfn em font i kbd label mark q s samp small span strong sub sup time tt u var".split())
 _READ = re.compile("class|hidden|style", re.I)
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+_VARIES = re.compile(r"[\d\s]+")
 _CONCEALED = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
@@ -62,7 +62,7 @@ Segments = tuple[list[int], list[int], list[int], list[str], list[list[int]]]
 
 
 def segments(text: str | None, drop_classes: frozenset) -> Segments:
-    """Distinct subtree hashes of a page (a slot's is even, a copy's odd), and its text
+    """Distinct subtree hashes of a page (a wording's is even, a copy's odd), and its text
     segments: blocks, their enclosing blocks or -1, texts, and the indexes of the hashes
     around them."""
     hashes: dict[int, int] = {}
@@ -122,9 +122,13 @@ def segments(text: str | None, drop_classes: frozenset) -> Segments:
             if not own and t not in INLINE:
                 # a data cell that repeats is data, not template
                 keys = [] if t in CELLS and x not in wraps else [_hash(t, *classes, " ".join(whole[x].split())) | 1]
-                if classes:
-                    said = len(plain[x].split()) >= SENTENCE_WORDS
-                    keys.append(_hash(t, *classes, *(["", _NO_LETTERS.sub("", plain[x])] if said else [])) & ~1)
+                if classes and t not in CELLS:
+                    wording = _VARIES.sub("", whole[x])
+                    if wording:
+                        keys.append(_hash(t, *classes, "", wording) & ~1)
+                    fixed = _VARIES.sub("", plain[x])
+                    if fixed and fixed != wording and 2 * len(plain[x].split()) < len(whole[x].split()):
+                        keys.append(_hash(t, *classes, "links", fixed) & ~1)
                 if keys:
                     around = around + [hashes.setdefault(k, len(hashes)) for k in keys]
             if t in BLOCKS:
@@ -170,7 +174,7 @@ def recurring(pages: DataFrame) -> DataFrame:
     host = F.coalesce("host", F.lit(""))
     total = pages.select(host.alias("host"), "address").distinct().groupBy("host").agg(F.count("*").alias("n"))
     seen = pages.select(host.alias("host"), "address", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("k"))
-    least = F.when(F.col("hash") % 2 == 0, MIN_SLOT_PAGES).otherwise(MIN_COPY_PAGES)
+    least = F.when(F.col("hash") % 2 == 0, MIN_WORDING_PAGES).otherwise(MIN_COPY_PAGES)
     some = seen.where(F.col("k") >= least).join(total, "host").where(F.col("k") >= F.col("n") * MIN_SHARE)
     return some.groupBy("host").agg(F.collect_list("hash").alias("template"))
 
