@@ -1,18 +1,22 @@
 """Session helpers: lineage cuts, size-checked broadcasts, table loading.
 
 Checkpoints go to the folder the cluster names in ``spark.checkpoint.dir``; a
-private temporary folder is used only where that setting is absent (tests).
+private temporary folder is used only in local mode where that setting is absent
+(tests). A cluster without the setting is an error: its nodes share no folder.
 """
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, NumericType, StringType, StructType
 
 #: Rows up to which a side may be broadcast once it has been counted.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which it may, by the lengths of its strings and arrays.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +29,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docquarry-ck-"))
 
 
@@ -35,15 +41,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for ``df`` only if it has at most ``max_rows`` rows.
-
-    ``df`` should be cheap to count (a checkpoint or a small scan). Beyond the
-    bound the plain frame is returned: the join then shuffles and AQE splits its
-    skewed partitions.
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row, by the types of its columns."""
+    size = F.lit(16)
+    for f in df.schema.fields:
+        c, t = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(t, (StringType, BinaryType)):
+            own = F.octet_length(c)
+        elif isinstance(t, ArrayType) and isinstance(t.elementType, NumericType):
+            own = F.size(c) * 8
+        elif isinstance(t, (ArrayType, MapType, StructType)):
+            own = F.octet_length(F.to_json(c))
+        else:
+            own = F.lit(0)
+        size = size + 8 + F.coalesce(own, F.lit(0))
+    return size
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for ``df`` only if it has at most ``max_rows`` rows and about
+    ``max_bytes`` bytes.
+
+    ``df`` should be cheap to read (a checkpoint or a small scan). Beyond the bounds
+    the plain frame is returned: the join then shuffles and AQE splits its skewed
+    partitions.
     """
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def shuffle_parts(spark: SparkSession) -> int:
