@@ -3,13 +3,16 @@
 1. Every partition measures its items and packs them by best fit, greatest first.
    Only an item above the capacity is split, into full pieces and a rest.
 2. Bins filled to NEARLY_FULL of the capacity are final.
-3. The other bins are items of the next round: fewer partitions, best fit again,
-   until one is left.
+3. All other bins are opened, and what they held is merged up the tree of a partial
+   aggregation as counts per size: best fit sees nothing of an item but its size, so
+   the counts lose nothing, and a level holds at most one number per size, whatever
+   the number of items. Best fit runs again over the merged counts, whole runs of
+   equal items at once, and says which run goes into which bins.
+4. Items find their bins by their number among those of their size: their place in the
+   partition plus the counts of the partitions before it.
 
-After best fit no two bins of a partition fit into one, so at most one of them
-is half empty or more, and a fuller bin can only be joined by such a one. Each
-partition therefore hands on its emptiest CARRY bins; the rest is final. What a
-later round sees is CARRY rows per partition, not a share of the data.
+No item is left out of the second round and no task or driver holds more than the
+sizes up to the capacity and the runs that best fit makes of them (a few per size).
 
 Defined results: a null or empty text has no tokens and takes no room, but is in
 a bin; repeated ids are items of their own.
@@ -26,41 +29,43 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docquarry.runtime import cut, maybe_broadcast
 
 CAPACITY = 4096
 NEARLY_FULL = 0.995
-#: Underfull bins a partition hands on, and partitions that meet in the next round.
-CARRY, FAN_IN = 64, 16
 #: Items packed together within a partition.
 GROUP = 200_000
-#: Default vocabulary; any rank file of the kind may be given.
-TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Fixed value: the public pattern that belongs to that vocabulary.
+#: Fixed value: the public pattern that belongs to vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @lru_cache(maxsize=2)
-def encoding(path: str):
+def encoding(vocabulary: bytes):
+    """Encoder of a rank file's content."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def read_vocabulary(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 #: White space the pattern matcher isn't given; it would backtrack too deeply.
 _LONG_BLANK = re.compile(r"\s{4096,}")
 
 
-def count_tokens(text: str | None, path: str = TOKENIZER_FILE) -> int:
+def count_tokens(text: str | None, vocabulary: bytes) -> int:
     """Tokens of the whole text. A very long run of white space is one piece of the
     pattern (all but its last character where text follows) and is encoded as such."""
     if not text:
         return 0
-    enc, n, at = encoding(path), 0, 0
+    enc, n, at = encoding(vocabulary), 0, 0
     for m in _LONG_BLANK.finditer(text):
         end = m.end() - (m.end() < len(text))
         n += len(enc.encode_ordinary(text[at : m.start()])) + len(enc._encode_single_piece(text[m.start() : end].encode()))
@@ -97,11 +102,54 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, np.array(fill, np.int64)
 
 
-def _handed_on(fill: np.ndarray, capacity: int) -> np.ndarray:
-    """Which bins go to the next round."""
-    on = np.zeros(len(fill), np.bool_)
-    on[np.argsort(fill, kind="stable")[:CARRY]] = True
-    return on & (fill < capacity * NEARLY_FULL)
+class Runs:
+    """Best fit over counts per size: where the items of each size go.
+
+    Of a size, the items from ``start`` on fill bins from ``first`` on, ``each`` to a bin."""
+
+    def __init__(self, counts: dict[int, int], capacity: int) -> None:
+        self.of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        rooms: dict[int, list[tuple[int, int]]] = {}  # room -> (first bin, bins)
+        used = self.bins = 0
+        for s in sorted(counts, reverse=True):
+            left, start, made = counts[s], 0, []
+            while left:
+                fits = used >> s
+                if fits:
+                    room = s + (fits & -fits).bit_length() - 1
+                    first, n = rooms[room].pop()
+                    if not rooms[room]:
+                        used &= ~(1 << room)
+                else:
+                    room, first = capacity, self.bins
+                    n = -(-left // (capacity // s)) if s else 1
+                    self.bins += n
+                # best fit returns to the bin it has just used until nothing more goes in
+                each = room // s if s else left
+                whole = min(n, left // each)
+                for bins, items in ((whole, each), (min(1, n - whole), left - whole * each if whole < n else 0)):
+                    if bins and items:
+                        made.append((start, first, items))
+                        rooms.setdefault(room - items * s, []).append((first, bins))
+                        used |= 1 << (room - items * s)
+                        start += bins * items
+                        left -= bins * items
+                        first += bins
+                        n -= bins
+                if n:
+                    rooms.setdefault(room, []).append((first, n))
+                    used |= 1 << room
+            self.of[s] = tuple(np.array(c, np.int64) for c in zip(*made))
+
+    def bin_of(self, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Bins of the ``place``-th items of their sizes."""
+        out = np.zeros(len(size), np.int64)
+        for s in np.unique(size).tolist():
+            at = np.flatnonzero(size == s)
+            start, first, each = self.of[s]
+            run = np.searchsorted(start, place[at], "right") - 1
+            out[at] = first[run] + (place[at] - start[run]) // each[run]
+        return out
 
 
 def sized_pieces(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,27 +160,36 @@ def sized_pieces(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarr
     return owner, no, np.minimum(capacity, sizes[owner] - no * capacity)
 
 
-def pack(df: DataFrame, id_col: str, text: str, capacity: int = CAPACITY, tokenizer: str = TOKENIZER_FILE) -> DataFrame:
-    """(id, piece_no, size, bin_id): the bin of every item or piece of one."""
+def pack(df: DataFrame, id_col: str, text: str, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+    """(id, piece_no, size, bin_id): the bin of every item or piece of one. ``tokenizer`` is
+    the path of a rank file on the driver; its content travels with the job."""
+    vocabulary = df.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, ids, sizes, held = TaskContext.get().partitionId() << 33, [], [], 0
+        part, ids, sizes, held = TaskContext.get().partitionId(), [], [], 0
+        base, seen = part << 33, np.zeros(capacity + 1, np.int64)
 
         def out() -> pa.RecordBatch:
-            nonlocal base
-            all_ids, owner = pa.concat_arrays(ids), None
+            nonlocal base, seen
             owner, no, size = sized_pieces(np.array(sizes, np.int64), capacity)
             bins, fill = best_fit(size, capacity)
-            on = _handed_on(fill, capacity)
+            open_ = fill[bins] < capacity * NEARLY_FULL
+            # places among the open items of a size, in the whole partition
+            order = np.argsort(size[open_], kind="stable")
+            own = size[open_][order]
+            place = np.zeros(len(size), np.int64)
+            place[np.flatnonzero(open_)[order]] = seen[own] + np.arange(len(own)) - np.searchsorted(own, own)
+            seen = seen + np.bincount(own, minlength=capacity + 1)
             rows = pa.RecordBatch.from_arrays(
-                [all_ids.take(pa.array(owner)), pa.array(no.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(base + bins), pa.array(fill[bins].astype(np.int32)), pa.array(on[bins])], ["id", "piece_no", "size", "bin_id", "fill", "open"]
-            )
+                [pa.concat_arrays(ids).take(pa.array(owner)), pa.array(no.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(base + bins), pa.array(open_), pa.array(np.full(len(size), part, np.int32)), pa.array(place)],
+                ["id", "piece_no", "size", "bin_id", "open", "part", "place"],
+            )
             base += len(fill)
             return rows
 
         for b in batches:
             ids.append(b.column(0))
-            sizes += [count_tokens(t, tokenizer) for t in b.column(1).to_pylist()]
+            sizes += [count_tokens(t, vocabulary.value) for t in b.column(1).to_pylist()]
             held += b.num_rows
             if held >= GROUP:
                 yield out()
@@ -140,36 +197,19 @@ def pack(df: DataFrame, id_col: str, text: str, capacity: int = CAPACITY, tokeni
         if held:
             yield out()
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        old, size = np.asarray(t.column(0)), np.asarray(t.column(1)).astype(np.int64)
-        order = np.argsort(old, kind="stable")
-        old, size = old[order], size[order]
-        bins, fill = best_fit(size, capacity)
-        name = np.full(len(fill), np.iinfo(np.int64).max)
-        np.minimum.at(name, bins, old)  # a merged bin keeps its least name
-        on = _handed_on(fill, capacity)
-        yield pa.RecordBatch.from_arrays([pa.array(old), pa.array(name[bins]), pa.array(fill[bins].astype(np.int32)), pa.array(on[bins])], ["bin_id", "new_id", "fill", "open"])
-
     items = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    first = cut(items.mapInArrow(local, "id long, piece_no int, size int, bin_id long, fill int, open boolean"))
-    bins = first.where("open").select("bin_id", "fill").distinct()
-    parts = first.rdd.getNumPartitions()
-    renamed = None
-    while True:
-        parts = max(1, -(-parts // FAN_IN))
-        step = cut(bins.repartition(parts, "bin_id").mapInArrow(again, "bin_id long, new_id long, fill int, open boolean"))
-        moves = step.select("bin_id", "new_id")
-        if renamed is None:
-            renamed = moves
-        else:
-            nxt = moves.select(F.col("bin_id").alias("__b"), F.col("new_id").alias("__n"))
-            renamed = cut(renamed.join(nxt, F.col("new_id") == F.col("__b"), "left").select("bin_id", F.coalesce("__n", "new_id").alias("new_id")))
-        if parts == 1:
-            break
-        bins = step.where("open").select(F.col("new_id").alias("bin_id"), "fill").distinct()
-    moved = renamed.where("bin_id <> new_id")
-    return first.join(maybe_broadcast(moved), "bin_id", "left").select("id", "piece_no", "size", F.coalesce("new_id", "bin_id").alias("bin_id"))
+    first = cut(items.mapInArrow(local, "id long, piece_no int, size int, bin_id long, open boolean, part int, place long"))
+    rest = first.where("open")
+    counts = cut(rest.groupBy("part", "size").agg(F.count("*").alias("n")))
+    before = W.partitionBy("size").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row per partition
+    offsets = counts.select("part", "size", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    runs = first.sparkSession.sparkContext.broadcast(Runs({r.size: r.n for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}, capacity))  # one row per size
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = runs.value
+        for b in batches:
+            bins = ready.bin_of(np.asarray(b.column("size")).astype(np.int64), np.asarray(b.column("place")))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "piece_no", "size")), pa.array(-1 - bins)], ["id", "piece_no", "size", "bin_id"])
+
+    numbered = rest.join(maybe_broadcast(cut(offsets)), ["part", "size"]).select("id", "piece_no", "size", (F.col("place") + F.col("before")).alias("place"))
+    return first.where("not open").select("id", "piece_no", "size", "bin_id").unionByName(numbered.mapInArrow(assign, "id long, piece_no int, size int, bin_id long"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,17 +107,20 @@ def p4_frequencies(spark: SparkSession, d: str) -> DataFrame:
 
 # Packing -------------------------------------------------------------------
 
+#: A public vocabulary; any rank file of the kind may be named instead.
+P8_TOKENIZER = os.environ.get("DOCQUARRY_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 
 @query
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that alone exceed a container, so were split by the packing."""
-    return packing.pack(table(spark, d, "documents"), "doc_id", "text").where("piece_no = 1").select(F.col("id").alias("doc_id"))
+    return packing.pack(table(spark, d, "documents"), "doc_id", "text", P8_TOKENIZER).where("piece_no = 1").select(F.col("id").alias("doc_id"))
 
 
 @query
 def p8_bins(spark: SparkSession, d: str) -> DataFrame:
     """Every container with its pieces and tokens."""
-    packed = packing.pack(table(spark, d, "documents"), "doc_id", "text")
+    packed = packing.pack(table(spark, d, "documents"), "doc_id", "text", P8_TOKENIZER)
     return packed.groupBy("bin_id").agg(F.count("*").alias("n_pieces"), F.sum("size").alias("n_tokens"))
 
 

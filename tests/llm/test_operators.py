@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.words import letters, words
 from docquarry.llm import components, leakage, nearduplicates, packing, repeatedlines, sitetemplates, subjects, vocabulary
-from docquarry.llm.queries import QUERIES, body_words
+from docquarry.llm.queries import P8_TOKENIZER, QUERIES, body_words
 from tests.conftest import rows
 
 
@@ -288,6 +288,8 @@ def test_a_page_fetched_often_is_no_template(spark):
 
 # Packing
 
+VOCABULARY = packing.read_vocabulary(P8_TOKENIZER)
+
 
 @pytest.mark.parametrize("capacity", [10, 64])
 def test_best_fit_is_valid(capacity):
@@ -305,26 +307,53 @@ def test_pack(spark):
     data = [(i, " ".join("word" for _ in range(r.choice([1, 5, 20, 200])))) for i in range(400)] + [(900, None), (901, ""), (902, "x " * 3000), (902, "y"), (None, "z")]
     df = spark.createDataFrame([(*x, "c", 1) for x in data], "doc_id long, text string, bin_id string, size int").repartition(20)
     cap = 128
-    got = packing.pack(df, "doc_id", "text", cap).collect()
+    got = packing.pack(df, "doc_id", "text", P8_TOKENIZER, cap).collect()
     fill = collections.Counter()
     for x in got:
         fill[x.bin_id] += x.size
-    assert max(fill.values()) <= cap and sum(fill.values()) == sum(packing.count_tokens(t) for _, t in data)
+    assert max(fill.values()) <= cap and sum(fill.values()) == sum(packing.count_tokens(t, VOCABULARY) for _, t in data)
     pieces = collections.Counter(x.id for x in got)
     need = collections.Counter()
     for i, t in data:
-        need[i] += max(1, -(-packing.count_tokens(t) // cap))
+        need[i] += max(1, -(-packing.count_tokens(t, VOCABULARY) // cap))
     assert pieces == need
     alone = packing.best_fit(np.array([x.size for x in got]), cap)[1]
     assert len(fill) <= 1.03 * len(alone) + 2  # nearly as few as one task would need
-    assert packing.pack(df.limit(0), "doc_id", "text", cap).collect() == []
+    assert packing.pack(df.limit(0), "doc_id", "text", P8_TOKENIZER, cap).collect() == []
+
+
+@pytest.mark.parametrize("capacity", [10, 64, 4096])
+def test_runs_are_best_fit(capacity):
+    """Best fit over counts, against best fit item by item."""
+    r = np.random.default_rng(capacity)
+    for n in (0, 1, 50, 2000):
+        sizes = r.integers(0, capacity + 1, n)
+        counts = dict(zip(*np.unique(sizes, return_counts=True)))
+        runs = packing.Runs({int(k): int(v) for k, v in counts.items()}, capacity)
+        order = np.argsort(sizes, kind="stable")
+        place = np.zeros(n, np.int64)
+        place[order] = np.arange(n) - np.searchsorted(sizes[order], sizes[order])
+        bins = runs.bin_of(sizes, place)
+        fill = np.bincount(bins, sizes, runs.bins)
+        assert (np.bincount(bins, minlength=runs.bins) > 0).all() and (fill <= capacity).all()
+        assert sorted(fill.tolist()) == sorted(packing.best_fit(sizes, capacity)[1].tolist())
+
+
+def test_sizes_that_cluster_by_partition(spark):
+    """Partitions of large items only and of small ones only: their bins must be opened."""
+    cap = 128
+    data = [(i, " ".join(["word"] * (82 if i // 50 % 2 else 46))) for i in range(1000)]
+    got = packing.pack(spark.createDataFrame(data, "doc_id long, text string").repartitionByRange(20, "doc_id"), "doc_id", "text", P8_TOKENIZER, cap).collect()
+    sizes = np.array([x.size for x in got])
+    alone = len(packing.best_fit(sizes, cap)[1])
+    assert len({x.bin_id for x in got}) <= 1.02 * alone and len(got) == 1000
 
 
 def test_tokens_of_long_blanks():
     for text in ("a" + " " * 5000 + "b c", " " * 4097, "x" + "\n" * 6000, "a" * 300_000):
-        exact = len(packing.encoding(packing.TOKENIZER_FILE).encode_ordinary(text))
-        assert packing.count_tokens(text) == exact
-    assert packing.count_tokens("a" + " " * 1_000_000 + "b") > 1000
+        exact = len(packing.encoding(VOCABULARY).encode_ordinary(text))
+        assert packing.count_tokens(text, VOCABULARY) == exact
+    assert packing.count_tokens("a" + " " * 1_000_000 + "b", VOCABULARY) > 1000
 
 
 # Leakage
