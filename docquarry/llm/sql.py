@@ -18,15 +18,36 @@ def _grams(words: str, n: int) -> str:
     return f"list_transform(range(1, len({words}) - {n - 2}), lambda i: list_slice({words}, i, i + {n - 1}))"
 
 
-SQL: dict[str, str] = {
-    "p1_found": rf"""
-    with {_READABLE},
+#: Lines of the bodies: every top-level element with its text and its letters.
+_LINES = r"""
     blocks as (select r.page_id, r.source_id, r.path, cast(e.key as integer) as block_no, e.value as block from readable r, json_each(r.body, '$.children') e),
     parts as (select b.page_id, b.source_id, b.path, b.block_no, t.id as pos, json_extract_string(t.value, '$') as s from blocks b, json_tree(b.block) t where t.key in ('value', 'code', 'alt') and t.type = 'VARCHAR'),
-    lines as (select page_id, source_id, path, block_no, regexp_replace(lower(nfc_normalize(string_agg(s, '' order by pos))), '[^\p{{L}}]+', '', 'g') as k from parts group by all),
+    lines as (select page_id, source_id, path, block_no, coalesce(string_agg(s, '' order by pos), '') as line, coalesce(regexp_replace(lower(nfc_normalize(string_agg(s, '' order by pos))), '[^\p{L}]+', '', 'g'), '') as k
+        from blocks left join parts using (page_id, source_id, path, block_no) group by all)"""
+
+SQL: dict[str, str] = {
+    "p1_found": rf"""
+    with {_READABLE}, {_LINES},
     totals as (select source_id, count(distinct path) as n from readable group by 1),
     bad as (select source_id, k from lines join totals using (source_id) where k <> '' group by source_id, k, n having count(distinct path) >= 5 and count(distinct path) * 10 >= n)
     select page_id, block_no from lines join bad using (source_id, k)""",
+    "p1_clean_pages": rf"""
+    with {_READABLE}, {_LINES},
+    totals as (select source_id, count(distinct path) as n from readable group by 1),
+    bad as (select source_id, k from lines join totals using (source_id) where k <> '' group by source_id, k, n having count(distinct path) >= 5 and count(distinct path) * 10 >= n)
+    select r.page_id, coalesce(string_agg(line, chr(10) order by block_no) filter (block_no is not null and b.k is null), '') as text,
+        count(block_no) filter (b.k is null) as n_kept, count(b.k) as n_removed
+    from readable r left join lines l using (page_id) left join bad b on b.source_id = l.source_id and b.k = l.k group by r.page_id""",
+    "p1_line_counts": rf"""
+    with {_READABLE}, {_LINES},
+    docs as (select r.page_id, r.source_id, r.path, coalesce(list(k order by block_no) filter (k <> ''), []) as c from readable r left join lines l using (page_id) group by all),
+    days as (select source_id, regexp_replace(path, '^/', '') as path, cast(min(fetched_at) as date) as day from pages group by all),
+    clusters as (select d.source_id, c, min(day) as day from docs d left join days f on f.source_id = d.source_id and f.path = d.path group by all),
+    totals as (select source_id, count(*) as n_total from clusters group by 1),
+    held as (select distinct source_id, c, day, unnest(c) as k from clusters),
+    counts as (select source_id, k, count(*) as n_clusters, count(distinct day) as n_dates from held group by all)
+    select source_id as source, cast('0x' || md5(k)[:15] as bigint) as line_key, n_clusters, n_dates, n_total
+    from counts join totals using (source_id) where n_clusters >= 5 and n_clusters * 10 >= n_total and n_dates >= 2""",
     "p3_found": f"""
     with {_READABLE}, {_STRINGS},
     texts as (select page_id, flatten(list({_words('s')} order by pos)) as w from strings group by 1),
