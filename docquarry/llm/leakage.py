@@ -8,9 +8,10 @@ again, until no match of ``seed`` words is left. Tiles don't overlap and may
 stand in any order, so a passage whose sentences were moved about still covers
 its item.
 
-Where the seeds are few (a counted bound) they travel to the scan and no document
-is shuffled; beyond the bound documents and items meet in a shuffled join on the
-seed. Both give the same rows.
+Where the items are small (a counted bound) they travel to the scan and no document
+is shuffled. Beyond the bound a filter of the items' seeds travels, FILTER_BITS long
+whatever their number; the scan gives only windows that pass it, and those meet the
+items in a shuffled join on the seed. Both give the same rows.
 
 Defined results: null and empty texts match nothing; an item shorter than the
 seed has none; repeated ids are compared row by row and give one row per pair
@@ -29,9 +30,12 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.words import words
 from docquarry.llm.nearduplicates import word_hashes
+from docquarry.runtime import cut
 
-#: Seed windows up to which the items travel to the scan.
+#: Seed windows up to which the items travel to the scan; a window takes two characters at least.
 SEED_ROWS = 2_000_000
+#: Bits of the filter of seeds (16 MB).
+FILTER_BITS = 1 << 27
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -150,12 +154,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ROW)], schema=_ROW)
 
 
-def _seed_rows(df: DataFrame, seed: int) -> DataFrame:
-    """(id, seed hash) of every distinct window of a text."""
+def _seed_rows(df: DataFrame, seed: int, passed=None) -> DataFrame:
+    """(id, seed hash) of every distinct window of a text, or of those in a filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if passed is None else np.frombuffer(passed.value, np.uint8)
         for b in batches:
             hashes = [np.unique(Rolling(word_hashes(words(t))).windows(seed)) for t in b.column(1).to_pylist()]
+            if bits is not None:
+                at = [(h % np.uint64(FILTER_BITS)).astype(np.int64) for h in hashes]
+                hashes = [h[(bits[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1] for h, i in zip(hashes, at)]
             at = pa.array(np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]))
             flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(flat.view(np.int64))], ["id", "seed"])
@@ -163,6 +171,16 @@ def _seed_rows(df: DataFrame, seed: int) -> DataFrame:
     return df.mapInArrow(run, "id long, seed long")
 
 
+def _seed_filter(seeds: DataFrame) -> bytes:
+    """One bit for every seed, by its hash modulo FILTER_BITS; built as bitmaps of 4 KB."""
+    bit = F.pmod("seed", F.lit(FILTER_BITS)) + 1
+    maps = seeds.groupBy(F.bitmap_bucket_number(bit).alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    out = bytearray(FILTER_BITS // 8)
+    for r in maps.collect():  # FILTER_BITS / 32,768 rows at most
+        out[(r.no - 1) * 4096 : r.no * 4096] = r.bits
+    return bytes(out)
+
+
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", seed: int = 12, seed_rows: int = SEED_ROWS) -> DataFrame:
     """One row per document and item that share ``seed`` consecutive words: tiles,
     covered words, coverage of the item and longest tile."""
@@ -171,10 +189,10 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
     best = F.max(F.struct("coverage", "longest", "n_tiles", "n_covered")).alias("m")
     few = t.agg(F.sum(F.length("text"))).first()[0] or 0
     if few <= 4 * seed_rows:  # a window needs two characters at least
-        held = [tuple(r) for r in t.collect()]
+        held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in t.collect()])
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ready = Items(held, seed)
+            ready = Items(held.value, seed)
             for b in batches:
                 rows = [(i, *r) for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in ready.compare(s)]
                 if rows:
@@ -182,7 +200,9 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
 
         found = d.mapInArrow(scan, _SHAPE)
     else:
-        one, two = _seed_rows(d, seed).withColumnRenamed("id", "doc_id"), _seed_rows(t, seed).withColumnRenamed("id", "item_id")
+        two = cut(_seed_rows(t, seed).withColumnRenamed("id", "item_id"))
+        passed = docs.sparkSession.sparkContext.broadcast(_seed_filter(two))
+        one = _seed_rows(d, seed, passed).withColumnRenamed("id", "doc_id")
         pairs = one.join(two, "seed").select("doc_id", "item_id").distinct()
         met = pairs.join(d.select(F.col("id").alias("doc_id"), F.col("text").alias("doc_text")), "doc_id").join(t.select(F.col("id").alias("item_id"), F.col("text").alias("item_text")), "item_id")
 

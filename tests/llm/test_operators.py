@@ -70,6 +70,19 @@ def test_copies_in_other_encodings_are_one_cluster(spark, tmp_path):
     assert got == {(7, 3, 7)}  # the boiler plate: seven clusters, first fetched on three days, of seven
 
 
+def test_republished_articles_and_single_days(spark):
+    article = ["long read", "by nobody", "all rights kept"]
+    data = [(i, "s", f"a{i}", body(*article)) for i in range(8)] + [(20 + i, "s", f"b{i}", body(f"own {chr(97 + i)}", "share this", "sale today" if i < 6 else "later")) for i in range(12)]
+    df = spark.createDataFrame(data, "page_id long, source_id string, path string, body string")
+    lines = repeatedlines.keyed_lines(df, "page_id", "source_id", None, "body")
+    dated = lines.withColumn("date", F.expr("date '2025-01-01' + if(doc_id >= 26, cast(doc_id as int), 0)"))
+    named = {repeatedlines.line_key(x): x for x in ("long read", "by nobody", "all rights kept", "share this", "sale today", "later")}
+    got = {(named[r.line_key], r.n_clusters, r.n_total) for r in repeatedlines.excessive(repeatedlines.line_counts(dated, dates=True)).collect()}
+    assert got == {("share this", 12, 13), ("later", 6, 13)}  # the article is one cluster, the sale one day
+    by_path = repeatedlines.repeated_line_cases(df, "page_id", "source_id", F.xxhash64("path"), "body")
+    assert by_path.where("doc_id < 20").count() == 24  # eight paths, where the path is the document
+
+
 # Near duplicates
 
 
