@@ -10,25 +10,35 @@ from urllib.parse import urlsplit
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.functions.ids import SOURCE_ID, SOURCE_TYPES
+from docquarry.functions.ids import SOURCE_ID
 from docquarry.sources.htmltree import Selector
 
 # Limits and defaults.
 MOST_RATE, RATE, TIMEOUT, PAGE_BYTES = 4.0, 2.0, 30, 250 * 1024 * 1024
 ASSET_BYTES, ASSETS_BYTES = 10 * 1024 * 1024, 250 * 1024 * 1024
 DEPTH, PAGES = 4, 5000
-TOP_KEYS = frozenset("name category source fetch sync icon accent_color attribution version".split())
+SCHEMA_VERSION = 1
+CATEGORY = "Uncategorized"
+MAN_SECTIONS = range(1, 9)
 NETWORK_TYPES = frozenset(["readthedocs", "rustdoc", "mdbook", "generic"])
 STRATEGIES = frozenset(["manual", "on_launch", "scheduled", "watch"])
 SCHEDULES = frozenset(["daily", "weekly", "monthly"])
-SPEC_KEYS = {
-    **dict.fromkeys(["readthedocs", "rustdoc", "mdbook"], frozenset(["type", "url", "version", "allow_insecure"])),
-    "generic": frozenset(["type", "url", "version", "allow_insecure", "generic"]),
-    "man": frozenset(["type", "paths", "sections"]),
-    "local": frozenset(["type", "path"]),
-    "docset": frozenset(["type", "path"]),
+
+# The sections of a file, their keys and the kinds of value.
+NUMBER = (int, float)
+SECTIONS: dict[str, dict[str, type | tuple | str]] = {
+    "": {"schema_version": int, "name": str, "source": dict, "fetch": dict, "version": str, "category": str, "display": dict, "attribution": dict, "sync": dict, "enrich": dict},
+    "source": {"type": str, "url": str, "path": str, "generic": dict, "man": dict},
+    "source.generic": {"entry_points": list, "max_depth": int, "max_pages": int, "include_patterns": list, "exclude_patterns": list, "content_selector": str, "title_selector": str, "nav_selector": str},
+    "source.man": {"paths": list, "sections": list},
+    "fetch": {"respect_robots": bool, "rate_limit_rps": NUMBER, "timeout_seconds": int, "allow_insecure": bool, "max_asset_bytes": int},
+    "display": {"icon": str, "accent_color": str},
+    "attribution": {"homepage": str, "licence": str},
+    "sync": {"strategy": str, "schedule": str, "watch_source": str, "pin_version": bool},
+    "enrich": {"link_to_source": bool, "tldr_summaries": bool},
 }
-GENERIC_KEYS = frozenset("entry_points include exclude max_depth max_pages content_selector title_selector nav_selector".split())
+#: Members of the source section that a type has; the first one is required.
+MEMBERS = {"readthedocs": ["url"], "rustdoc": ["url"], "mdbook": ["url"], "generic": ["url", "generic"], "man": ["man"], "local": ["path"], "docset": ["path"]}
 
 
 class ConfigError(ValueError):
@@ -40,14 +50,16 @@ class Fetch:
     rate: float = RATE
     timeout: float = TIMEOUT
     max_page_bytes: int = PAGE_BYTES
-    max_asset_bytes: int = ASSET_BYTES
-    allow_private: bool = False
+    max_asset_bytes: int = ASSETS_BYTES
+    respect_robots: bool = True
+    allow_insecure: bool = False
 
 
 @dataclass(frozen=True)
 class Sync:
     strategy: str = "manual"
     schedule: str | None = None
+    watch_source: str | None = None
     pin_version: bool = False
 
 
@@ -56,7 +68,7 @@ class Source:
     id: str
     name: str
     type: str
-    category: str = ""
+    category: str = CATEGORY
     url: str | None = None
     path: str | None = None
     version: str | None = None
@@ -66,68 +78,109 @@ class Source:
     max_depth: int = DEPTH
     max_pages: int = PAGES
     content_selector: str | None = None
+    title_selector: str | None = None
+    nav_selector: str | None = None
     man_paths: tuple[str, ...] = ()
     man_sections: tuple[int, ...] = ()
     icon: tuple[str, str] | None = None
     accent_color: str | None = None
+    homepage: str | None = None
+    licence: str | None = None
     fetch: Fetch = field(default_factory=Fetch)
     sync: Sync = field(default_factory=Sync)
 
 
-def _known(table: dict, keys: frozenset, where: str) -> None:
-    odd = sorted(set(table) - keys)
-    if odd:
-        raise ConfigError(f"unknown key in {where}: {odd[0]}")
+def _section(raw: dict, name: str) -> dict:
+    """The members of a section that have a value, of known names and kinds."""
+    keys = SECTIONS[name]
+    for k, v in raw.items():
+        if k not in keys:
+            raise ConfigError(f"unknown key in {name or 'the file'}: {k}")
+        if v is not None and (not isinstance(v, keys[k]) or (isinstance(v, bool) and keys[k] is not bool)):
+            raise ConfigError(f"{name}.{k} has a value of the wrong kind".lstrip("."))
+    return {k: v for k, v in raw.items() if v is not None}
 
 
-def _url(text: str | None, insecure: bool) -> str:
-    p = urlsplit(text or "")
-    if not p.hostname or p.scheme not in ("https", "http"):
-        raise ConfigError("a source needs an http(s) url")
-    if p.scheme == "http" and not insecure:
-        raise ConfigError("http needs allow_insecure")
+def _absolute(text: str, where: str) -> str:
+    p = urlsplit(text)
+    if not p.scheme or not p.hostname:
+        raise ConfigError(f"{where} is no absolute url")
     return text
 
 
 def _generic(raw: dict) -> dict:
-    _known(raw, GENERIC_KEYS, "generic")
-    out = {k: tuple(raw.get(k) or ()) for k in ("entry_points", "include", "exclude")}
-    for p in out["include"] + out["exclude"]:
-        try:
-            re.compile(p)
-        except re.error as e:
-            raise ConfigError(f"bad pattern {p}: {e}") from e
-    for k in ("content_selector", "title_selector", "nav_selector"):
-        if raw.get(k) is not None:
+    g = _section(raw, "source.generic")
+    out: dict = {"entry_points": tuple(map(str, g.get("entry_points", ())))}
+    for member, key in (("include", "include_patterns"), ("exclude", "exclude_patterns")):
+        out[member] = tuple(map(str, g.get(key, ())))
+        for p in out[member]:
+            try:
+                re.compile(p)
+            except re.error as e:
+                raise ConfigError(f"source.generic.{key} has a bad pattern {p}: {e}") from e
+    for key in ("content_selector", "title_selector", "nav_selector"):
+        out[key] = g.get(key)
+        if key in g:
             try:
-                Selector(raw[k])
+                Selector(g[key])
             except ValueError as e:
-                raise ConfigError(str(e)) from e
-    out |= {"max_depth": raw.get("max_depth", DEPTH), "max_pages": raw.get("max_pages", PAGES), "content_selector": raw.get("content_selector")}
-    if min(out["max_depth"], out["max_pages"]) < 1:
-        raise ConfigError("max_depth and max_pages are at least 1")
+                raise ConfigError(f"source.generic.{key}: {e}") from e
+    for key, default in (("max_depth", DEPTH), ("max_pages", PAGES)):
+        out[key] = g.get(key, default)
+        if out[key] < 1:
+            raise ConfigError(f"source.generic.{key} is at least 1")
     return out
 
 
+def _man(raw: dict) -> dict:
+    m = _section(raw, "source.man")
+    sections = tuple(m.get("sections", MAN_SECTIONS))
+    if not m.get("paths"):
+        raise ConfigError("source.man.paths names at least one folder")
+    if any(x not in MAN_SECTIONS for x in sections):
+        raise ConfigError("source.man.sections are 1 to 8")
+    return {"man_paths": tuple(map(str, m["paths"])), "man_sections": sections}
+
+
+def _spec(raw: dict, fetch: Fetch) -> dict:
+    """What the source section says."""
+    spec, kind = _section(raw, "source"), raw.get("type")
+    if kind not in MEMBERS:
+        raise ConfigError(f"unknown type: {kind}")
+    odd = sorted(set(spec) - {"type", *MEMBERS[kind]})
+    if odd:
+        raise ConfigError(f"source.{odd[0]} doesn't apply to the type {kind}")
+    if MEMBERS[kind][0] not in spec:
+        raise ConfigError(f"a {kind} source needs source.{MEMBERS[kind][0]}")
+    if kind == "man":
+        return _man(spec["man"])
+    if kind not in NETWORK_TYPES:
+        return {"path": spec["path"]}
+    scheme = urlsplit(_absolute(spec["url"], "source.url")).scheme.lower()
+    if scheme not in ("https", "http") or (scheme == "http" and not fetch.allow_insecure):
+        raise ConfigError("source.url is https, or http with fetch.allow_insecure")
+    return {"url": spec["url"]} | (_generic(spec.get("generic", {})) if kind == "generic" else {})
+
+
 def _fetch(raw: dict) -> Fetch:
-    _known(raw, frozenset("rate timeout max_page_bytes max_asset_bytes allow_private".split()), "fetch")
-    f = Fetch(**raw)
-    if not 0 < f.rate < float("inf"):
-        raise ConfigError("rate is above 0 and finite")
-    if f.timeout < 1:
-        raise ConfigError("timeout is at least 1 second")
-    return Fetch(min(f.rate, MOST_RATE), f.timeout, f.max_page_bytes, f.max_asset_bytes, f.allow_private)
-
-
-def _sync(raw: dict, kind: str) -> Sync:
-    _known(raw, frozenset("strategy schedule pin_version".split()), "sync")
-    s = Sync(**raw)
+    f = _section(raw, "fetch")
+    rate, timeout = f.get("rate_limit_rps", RATE), f.get("timeout_seconds", TIMEOUT)
+    if not 0 < rate < float("inf"):
+        raise ConfigError("fetch.rate_limit_rps is above 0 and finite")
+    if timeout < 1:
+        raise ConfigError("fetch.timeout_seconds is at least 1")
+    return Fetch(min(rate, MOST_RATE), timeout, max_asset_bytes=f.get("max_asset_bytes", ASSETS_BYTES), respect_robots=f.get("respect_robots", True), allow_insecure=f.get("allow_insecure", False))
+
+
+def _sync(raw: dict) -> Sync:
+    s = Sync(**_section(raw, "sync"))
     if s.strategy not in STRATEGIES:
         raise ConfigError(f"unknown strategy: {s.strategy}")
-    if (s.strategy == "scheduled") != (s.schedule is not None) or (s.schedule and s.schedule not in SCHEDULES):
-        raise ConfigError("a schedule (daily, weekly, monthly) belongs to the scheduled strategy")
-    if s.strategy == "watch" and kind not in ("local", "docset"):
-        raise ConfigError("only local sources can be watched")
+    for member, strategy in (("schedule", "scheduled"), ("watch_source", "watch")):
+        if (getattr(s, member) is not None) != (s.strategy == strategy):
+            raise ConfigError(f"sync.{member} belongs to the strategy {strategy}, and that needs it")
+    if s.schedule is not None and s.schedule not in SCHEDULES:
+        raise ConfigError(f"unknown schedule: {s.schedule}")
     return s
 
 
@@ -144,27 +197,26 @@ def parse(source_id: str, text: str) -> Source:
         raw = yaml.safe_load(text)
     except yaml.YAMLError as e:
         raise ConfigError(f"no YAML: {e}") from e
-    if not isinstance(raw, dict) or not isinstance(raw.get("source"), dict):
+    if not isinstance(raw, dict):
+        raise ConfigError("a configuration is a mapping")
+    top = _section(raw, "")
+    if top.get("schema_version") != SCHEMA_VERSION:
+        raise ConfigError(f"schema_version is {SCHEMA_VERSION}; a larger one is of a newer format")
+    if not top.get("name", "").strip():
+        raise ConfigError("a configuration needs a name")
+    if "source" not in top:
         raise ConfigError("a configuration needs a source section")
-    _known(raw, TOP_KEYS, "the file")
-    spec, kind = raw["source"], raw["source"].get("type")
-    if kind not in SOURCE_TYPES:
-        raise ConfigError(f"unknown type: {kind}")
-    _known(spec, SPEC_KEYS[kind], f"a {kind} source")
-    own: dict = {"version": spec.get("version") or raw.get("version")}
-    if kind in NETWORK_TYPES:
-        own["url"] = _url(spec.get("url"), bool(spec.get("allow_insecure")))
-        own |= _generic(spec.get("generic") or {}) if kind == "generic" else {}
-    elif kind == "man":
-        own |= {"man_paths": tuple(spec.get("paths") or ()), "man_sections": tuple(spec.get("sections") or ())}
-    elif not spec.get("path"):
-        raise ConfigError(f"a {kind} source needs a path")
-    else:
-        own["path"] = spec["path"]
-    color = raw.get("accent_color")
+    fetch = _fetch(top.get("fetch", {}))
+    own = _spec(top["source"], fetch)
+    shown, credit = _section(top.get("display", {}), "display"), _section(top.get("attribution", {}), "attribution")
+    _section(top.get("enrich", {}), "enrich")  # read, and not used
+    color = shown.get("accent_color")
     if color is not None and not re.fullmatch("#[0-9A-Fa-f]{6}", color):
-        raise ConfigError("accent_color is #rrggbb")
-    return Source(source_id, raw.get("name") or source_id, kind, raw.get("category") or "", icon=icon_of(raw["icon"]) if raw.get("icon") else None, accent_color=color, fetch=_fetch(raw.get("fetch") or {}), sync=_sync(raw.get("sync") or {}, kind), **own)
+        raise ConfigError("display.accent_color is #rrggbb")
+    if "homepage" in credit:
+        _absolute(credit["homepage"], "attribution.homepage")
+    icon = icon_of(shown["icon"]) if "icon" in shown else None
+    return Source(source_id, top["name"], top["source"]["type"], top.get("category", CATEGORY), version=top.get("version"), icon=icon, accent_color=color, homepage=credit.get("homepage"), licence=credit.get("licence"), fetch=fetch, sync=_sync(top.get("sync", {})), **own)
 
 
 def parse_file(path: str) -> Source:

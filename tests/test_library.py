@@ -185,17 +185,38 @@ def test_addresses(a, kind):
     assert addresses.classify(a) == kind
 
 
+HEAD = "schema_version: 1\nname: X\n"
+
+
 def test_configs(spark, tmp_path):
-    good = "name: X\ncategory: a\nicon: 🦀\nsource: {type: generic, url: 'https://x.org/', generic: {max_depth: 2, content_selector: 'div#c', include: ['^/a']}}\nfetch: {rate: 9}\nsync: {strategy: scheduled, schedule: weekly}\n"
+    good = HEAD + """category: a
+version: "3"
+source:
+  type: generic
+  url: https://x.org/
+  generic: {max_depth: 2, content_selector: "div#c", include_patterns: ["^/a"], entry_points: [/start]}
+fetch: {rate_limit_rps: 9, timeout_seconds: 5, respect_robots: false}
+display: {icon: 🦀, accent_color: "#5e6ad2"}
+attribution: {homepage: "https://x.org/", licence: MIT}
+sync: {strategy: scheduled, schedule: weekly}
+enrich: {tldr_summaries: true}
+"""
     c = config.parse("x", good)
-    assert (c.max_depth, c.max_pages, c.fetch.rate, c.icon) == (2, 5000, 4.0, ("emoji", "🦀"))
-    for bad in ("source: {type: nope}", "x: 1", "source: {type: rustdoc, url: 'http://x'}", "source: {type: rustdoc, url: 'https://x', generic: {}}", "source: {type: generic, url: 'https://x', generic: {include: ['(']}}", "source: {type: man}\nsync: {strategy: watch}", "source: {type: local}", "source: {type: man}\nsync: {strategy: scheduled}", "source: {type: man}\naccent_color: red", "source: {type: man}\nodd: 1", "[", "source: {type: man}\nfetch: {rate: 0}"):
+    assert (c.max_depth, c.max_pages, c.fetch.rate, c.icon, c.include, c.entry_points) == (2, 5000, 4.0, ("emoji", "🦀"), ("^/a",), ("/start",))
+    assert (c.version, c.licence, c.fetch.respect_robots, c.fetch.timeout, c.sync.schedule) == ("3", "MIT", False, 5, "weekly")
+    assert config.parse("m", HEAD + "source: {type: man, man: {paths: [/usr/share/man]}}").man_sections == tuple(range(1, 9))
+    assert config.parse("h", HEAD + "source: {type: rustdoc, url: 'http://x'}\nfetch: {allow_insecure: true}").category == config.CATEGORY
+    man = "source: {type: man, man: {paths: [a]}}\n"
+    bad = ["source: {type: nope}", "x: 1", "source: {type: rustdoc, url: 'http://x'}", "source: {type: rustdoc, url: x}", "source: {type: rustdoc, url: 'https://x', generic: {}}", "source: {type: generic, url: 'https://x', generic: {include_patterns: ['(']}}"]
+    bad += ["source: {type: generic, url: 'https://x', generic: {max_depth: 0}}", "source: {type: generic, url: 'https://x', generic: {nav_selector: '>>'}}", "source: {type: man}", "source: {type: man, man: {paths: []}}", "source: {type: man, man: {paths: [a], sections: [9]}}", "source: {type: local}", "source: {type: local, path: a, url: 'https://x'}"]
+    bad += [man + x for x in ("sync: {strategy: watch}", "sync: {strategy: scheduled}", "sync: {schedule: daily}", "sync: {strategy: scheduled, schedule: hourly}", "display: {accent_color: red}", "odd: 1", "fetch: {rate_limit_rps: 0}", "fetch: {timeout_seconds: 0}", "fetch: {rate: 1}", "fetch: {respect_robots: 1}", "attribution: {homepage: x}")]
+    for text in [HEAD + x for x in bad] + ["[", "1", "name: X\n" + man, "schema_version: 2\nname: X\n" + man, "schema_version: 1\nname: ' '\n" + man]:
         with pytest.raises(config.ConfigError):
-            config.parse("x", bad)
+            config.parse("x", text)
     with pytest.raises(config.ConfigError):
         config.parse("bad id", good)
     (tmp_path / "b.yaml").write_text(good)
-    (tmp_path / "a.yaml").write_text("source: {type: man}")
+    (tmp_path / "a.yaml").write_text(HEAD + man)
     (tmp_path / "c.yaml").write_text("source: 1")
     found, warnings = config.scan(str(tmp_path))
     assert [s.id for s in found] == ["a", "b"] and len(warnings) == 1 and config.to_frame(spark, found).count() == 2
@@ -356,6 +377,16 @@ def test_catalog(spark):
     assert rows(catalog.never_pulled(s, p).select("id")) == [("b",), ("c",)]
 
 
+def test_equal_documents_are_ranked_by_key(spark):
+    docs = spark.createDataFrame([(i, "alpha beta gamma delta " + "epsilon " * (i % 3)) for i in range(90)], "doc_id long, text string").repartition(7)
+    built = index.build(docs, ["doc_id"], {"body": index.placed_tokens(F.col("text"))}, {"body_chars": F.length("text")})
+    asked = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "query_id long, q string")
+    for _ in range(3):
+        got = search.search(built, asked, 40, search.Ranking({"body": 1.0}, max_distance=0)).orderBy("hit_rank").collect()
+        assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda i: (-next(x.score for x in got if x.doc_id == i), i))
+        assert len({r.score for r in got}) == 2
+
+
 def test_registered_queries_agree_with_sql(spark, data):
     import os
 
