@@ -99,7 +99,7 @@ def plain_text_query(c: Column | str) -> Column:
 def forced_symbols(c: Column | str) -> Column:
     """The names after ``@`` in a query; other words are dropped."""
     marked = F.filter(F.split(_col(c), r"\s+"), lambda w: w.rlike("^@."))
-    return F.transform(marked, lambda w: F.substring(w, 2, 2**20))
+    return F.transform(marked, lambda w: w.substr(F.lit(2), F.length(w)))
 
 
 def drop_stopwords(c: Column | str, words: list[str] | None = None) -> Column:

@@ -316,8 +316,8 @@ _BM25_SQL = f"""
     scored as (select query_id, doc_id, sum(weight * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len))) as score
         from terms join freq using (term) join post using (term) join lens using (doc_id), stats group by all),
     final as (select query_id, s.doc_id, source, case when chars > 4000 then score / (1 + 1.6 * ln(chars / 4000)) else score end as score from scored s join tokens t using (doc_id))
-    select query_id, hit_rank, doc_id, round(score, 6) as score from (
-        select *, row_number() over (partition by query_id order by score desc, doc_id) as hit_rank from final where {{scope}}) where hit_rank <= 10"""
+    select query_id, hit_rank, doc_id, score from (
+        select query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as hit_rank from final where {{scope}}) where hit_rank <= 10"""
 _BODY = search.Ranking({"body": 1.0}, max_distance=0)
 
 
@@ -330,20 +330,16 @@ def _document_index(spark: SparkSession, d: str) -> index.Index:
     return index.build(docs, ["doc_id"], {"body": index.placed_tokens(F.col("text"))}, {"source": F.col("source"), "body_chars": F.length("text")})
 
 
-def _hits(df: DataFrame) -> DataFrame:
-    return df.withColumn("score", F.round("score", 6))
-
-
 @query(_BM25_SQL.replace("{scope}", "true"))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Ten best documents per query, with length penalty."""
-    return _hits(search.search(_document_index(spark, d), _asked(spark, d), 10, _BODY))
+    return search.search(_document_index(spark, d), _asked(spark, d), 10, _BODY)
 
 
 @query(_BM25_SQL.replace("{scope}", "source = 'inlinzo'"))
 def scoped_topk(spark: SparkSession, d: str) -> DataFrame:
     """The same within one source; statistics stay global."""
-    return _hits(search.search(_document_index(spark, d), _asked(spark, d), 10, _BODY, F.col("source") == "inlinzo"))
+    return search.search(_document_index(spark, d), _asked(spark, d), 10, _BODY, F.col("source") == "inlinzo")
 
 
 @query(r"""
@@ -360,14 +356,14 @@ def phrase_match(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def page_search(spark: SparkSession, d: str) -> DataFrame:
     """Ten best stored pages per query over all fields, with correction and phrases."""
-    return _hits(search.search(ingest.index_of(table(spark, d, "stored_pages")), _asked(spark, d)))
+    return search.search(ingest.index_of(table(spark, d, "stored_pages")), _asked(spark, d))
 
 
 @query()
 def symbol_search(spark: SparkSession, d: str) -> DataFrame:
     """Pages that declare a symbol."""
     asked = spark.createDataFrame([(1, "@inlinzo"), (2, "@bitel @dastovi")], "query_id long, q string")
-    return _hits(search.search(ingest.index_of(table(spark, d, "stored_pages")), asked, 50))
+    return search.search(ingest.index_of(table(spark, d, "stored_pages")), asked, 50)
 
 
 @query()

@@ -20,6 +20,9 @@ from docquarry.runtime import cut, maybe_broadcast
 #: Constants of BM25.
 K1, B = 1.2, 0.75
 PREFIX_CHARS = 3
+#: Decimals of a score. Sums of floats differ in the last bits with the order of addition,
+#: so equal documents are only tied once their scores are rounded.
+SCORE_DECIMALS = 6
 
 
 @dataclass(frozen=True)
@@ -106,7 +109,7 @@ def phrase_scores(index: Index, asked: DataFrame, found: DataFrame) -> DataFrame
     met = found.join(_with_idf(index, asked, found), ["field", "term"])
     starts = F.transform("positions", lambda p: p - F.col("slot"))
     whole = met.groupBy("query_id", "phrase", "field", *index.key).agg(F.collect_list(starts).alias("starts"), F.first("size").alias("size"), F.first("len").alias("len"), F.first("weight").alias("weight"), F.sum("own_idf").alias("term_idf")).where(F.size("starts") == F.col("size"))
-    count = F.size(F.aggregate(F.slice("starts", 2, 2**20), F.col("starts")[0], lambda a, b: F.array_intersect(a, b)))
+    count = F.size(F.aggregate(F.slice("starts", F.lit(2), F.greatest(F.size("starts") - 1, F.lit(0))), F.col("starts")[0], lambda a, b: F.array_intersect(a, b)))
     return _scored(index, whole.withColumn("tf", count).where("tf > 0"))
 
 
@@ -140,7 +143,8 @@ def search(index: Index, queries: DataFrame, limit: int = 10, ranking: Ranking =
 
     ``scope`` is a condition on the documents; it is applied before the cut, so a
     scoped search is never short of hits. Statistics stay those of the whole index.
-    Ties are broken by the key. Null and empty queries have no hits.
+    Scores are rounded to SCORE_DECIMALS and ties are broken by the key, so a result
+    doesn't depend on the order of addition. Null and empty queries have no hits.
     """
     terms, said = cut(query_terms(queries, ranking)), phrases(queries, ranking)
     found = matched(index, terms.select("field", "term").unionByName(said.select("field", "term")))
@@ -153,7 +157,7 @@ def search(index: Index, queries: DataFrame, limit: int = 10, ranking: Ranking =
     docs = index.docs if scope is None else index.docs.where(scope)
     size = F.col("body_chars" if "body_chars" in docs.columns else "body_len")
     total = scores.groupBy("query_id", *index.key).agg(F.sum("score").alias("score")).join(docs, list(index.key))
-    ranked = total.withColumn("score", length_penalty(F.col("score"), size, ranking.pivot, ranking.penalty))
+    ranked = total.withColumn("score", F.round(length_penalty(F.col("score"), size, ranking.pivot, ranking.penalty), SCORE_DECIMALS))
     at = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), *index.key))
     return ranked.withColumn("hit_rank", at).where(F.col("hit_rank") <= max(limit, 1)).select("query_id", "hit_rank", *index.key, "score")
 
