@@ -1,4 +1,9 @@
-"""Web page to page tree: title, body, links."""
+"""Web page to page tree: title, body, links.
+
+Elements without a node of their own are opened in place by a stack, so wrappers may lie
+in each other to any depth. Nodes are nested up to MOST_DEPTH; elements below that are
+opened too: their text stays, their own markup doesn't.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +22,8 @@ CHROME_FRAGMENTS = tuple("breadcrumb hideme screen-reader sr-only visually-hidde
 PERMALINK_MARKS = frozenset(["¶", "§", "#", "🔗", "⚓", "↩", "↵", "&para;"])
 ADMONITIONS = tuple("note warning tip important caution danger attention hint error seealso".split())
 LANGUAGE_PREFIXES = ("language-", "lang-", "highlight-")
+#: Nodes of a page that may lie in each other.
+MOST_DEPTH = 100
 INLINE_TYPES = frozenset("text emphasis strong inline_code link image".split())
 
 _ROOTS = [Selector(s) for s in CONTENT_ROOTS]
@@ -73,7 +80,7 @@ class Reader:
     """Turns the elements of one page into nodes."""
 
     def __init__(self, tree: Tree, drop_classes: frozenset[str]) -> None:
-        self.tree, self.drop_classes = tree, drop_classes
+        self.tree, self.drop_classes, self.depth = tree, drop_classes, 0
 
     def dropped(self, e: int) -> bool:
         a = self.tree.attrs[e]
@@ -86,12 +93,39 @@ class Reader:
 
     def content_text(self, e: int) -> str:
         """Text of a subtree without its dropped parts."""
-        return "".join(htmllib.unescape(x) if isinstance(x, str) else "" if self.dropped(x) else self.content_text(x) for x in self.tree.content[e])
+        out, todo = [], self.tree.content[e][::-1]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out.append(htmllib.unescape(x))
+            elif not self.dropped(x):
+                todo += self.tree.content[x][::-1]
+        return "".join(out)
+
+    def opened(self, e: int) -> bool:
+        """Whether an element's content stands in its place."""
+        tag = self.tree.tag[e]
+        if tag in ("div", "section"):
+            return self.depth >= MOST_DEPTH or "admonition" not in self.tree.classes(e)
+        if tag == "span":
+            return "id" not in self.tree.attrs[e] or bool(self.tree.text(e))
+        return tag not in _MAKERS or (self.depth >= MOST_DEPTH and tag not in _LEAVES)
 
     def nodes(self, e: int) -> list[dict]:
         out: list[dict] = []
-        for x in self.tree.content[e]:
-            out += self.text(x) if isinstance(x, str) else [] if self.dropped(x) else self.element(x)
+        todo = self.tree.content[e][::-1]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out += self.text(x)
+            elif not self.dropped(x):
+                if self.opened(x):
+                    own = self.tree.attrs[x].get("id")
+                    if own is not None:
+                        out.append({"type": "anchor", "id": own})
+                    todo += self.tree.content[x][::-1]
+                else:
+                    out += self.element(x)
         return out
 
     def block(self, e: int) -> list[dict]:
@@ -128,7 +162,13 @@ class Reader:
 
     def element(self, e: int) -> list[dict]:
         make = _MAKERS.get(self.tree.tag[e])
-        return make(self, e) if make else self.unwrap(e)
+        if make is None or self.opened(e):
+            return self.unwrap(e)
+        self.depth += 1
+        try:
+            return make(self, e)
+        finally:
+            self.depth -= 1
 
     def unwrap(self, e: int) -> list[dict]:
         own = self.tree.attrs[e].get("id")
@@ -175,10 +215,21 @@ class Reader:
                     items.append({"id": None, "term": [], "definition": body})
         return [{"type": "definition_list", "items": items}]
 
+    def own_rows(self, e: int) -> list[int]:
+        """The rows of a table, without those of tables inside it, which their cells hold."""
+        out, todo = [], self.tree.elements(e)[::-1]
+        while todo:
+            x = todo.pop()
+            if self.tree.tag[x] == "tr":
+                out.append(x)
+            elif self.tree.tag[x] != "table":
+                todo += self.tree.elements(x)[::-1]
+        return out
+
     def table(self, e: int) -> list[dict]:
         headers: list[dict] = []
         rows: list[dict] = []
-        for tr in (x for x in self.tree.below(e) if self.tree.tag[x] == "tr"):
+        for tr in self.own_rows(e):
             own = self.tree.elements(tr)
             cells = [{"children": self.block(x)} for x in own if self.tree.tag[x] in ("td", "th")]
             if cells and not headers and not rows and all(self.tree.tag[x] != "td" for x in own):
@@ -235,6 +286,10 @@ _MAKERS: dict[str, Callable[[Reader, int], list[dict]]] = {
 }
 
 
+#: Elements whose nodes hold no others.
+_LEAVES = frozenset(["code", "kbd", "samp", "pre", "img", "hr", "br"])
+
+
 def content_root(tree: Tree, selector: str | None = None) -> int | None:
     """The configured selector's first match, else the first of the usual roots."""
     tried = list(_ROOTS)

@@ -1,9 +1,11 @@
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docquarry.model import fields, render
+from docquarry.model.ast import text_content
 from docquarry.model.parse import parse_page
 from docquarry.model.transform import localize, normalize, relink, sanitize, word_cut
 from docquarry.operators import pages
@@ -161,3 +163,19 @@ def test_parse_operator(spark):
     df = spark.createDataFrame([(1, "<main><h1>A</h1><a href=/b>b</a></main>", BASE), (2, None, None)], "raw_id long, html string, url string")
     got = rows(pages.parse_pages(df, {"raw_id": "long"}))
     assert got[0][1] == "A" and got[0][4] == ["https://x.org/b"] and json.loads(got[1][3]) == {"type": "document", "children": []}
+
+
+@pytest.mark.parametrize("tag", ["div", "blockquote", "ul><li", "em", "table><tr><td", 'section class="admonition note"', "span", "a href=/x", "dl><dd"])
+def test_deep_pages_keep_their_text(tag):
+    n, names = 2000, [t.split()[0] for t in tag.split("><")]
+    html = "<main><p>top</p>" + f"<{tag}>" * n + "deep text" + "".join(f"</{t}>" for t in reversed(names)) * n + "<p>after</p></main>"
+    tree = json.loads(json.dumps(sanitize(normalize(parse_page(html, "https://x.org/")["body"], "https://x.org/")["body"])))
+    said = text_content(tree)
+    assert said.startswith("top") and "deep text" in said and said.endswith("after")
+    assert "deep text" in render.to_html(tree) and "deep text" in render.to_markdown(tree) and fields.search_fields(tree)
+
+
+def test_rows_of_inner_tables_stand_in_their_cell():
+    tree = parse_page("<main><table><tr><td>a<table><tr><td>b</table><tr><td>c</table></main>", "https://x.org/")["body"]
+    outer = tree["children"][0]
+    assert [text_content(r) for r in outer["rows"]] == ["ab", "c"]
