@@ -7,7 +7,9 @@ level, as Arrow's ``list_parent_indices`` / ``list_flatten`` do for typed
 columns of a known depth. Record keys are then propagated with ``take``. The
 depth of the nesting is not bounded by any schema.
 
-Defined results: a null, empty or cut-off text is unreadable and gives no rows;
+Defined results: a null, empty, cut-off or otherwise malformed text is unreadable and
+gives no rows: kinds of brackets, order of tokens, scalars, escapes and control
+characters are judged on the same buffer, as a parser would;
 text after the first value makes a record unreadable too; a value encoded as a
 JSON string (even several times) counts as its content; absent, null and empty
 child lists are alike; one object where a list is meant is a list of it.
@@ -19,6 +21,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +77,87 @@ def _last_before(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(values, at) - 1
 
 
+#: Classes of tokens: braces, brackets, colon, comma, and the two ends of a string as key or value.
+_O, _o, _A, _a, _C, _M, _KQ, _KE, _VQ, _VE = range(10)
+_CLASS = np.zeros(256, np.int64)
+_CLASS[[_OBJ, 125, _ARR, 93, _COLON, 44]] = [_O, _o, _A, _a, _C, _M]
+#: Whether a token may follow another (rows: token, in an object or not), and whether with a scalar between.
+_NEXT = np.zeros((2, 10, 10), np.bool_)
+_SCALAR_BETWEEN = np.zeros((2, 10, 10), np.bool_)
+for _c in (0, 1):
+    _NEXT[_c, _O, [_KQ, _o]] = True
+    _NEXT[_c, _A, [_VQ, _O, _A, _a]] = True
+    _NEXT[_c, _C, [_VQ, _O, _A]] = True
+    _NEXT[_c, _KQ, _KE] = _NEXT[_c, _KE, _C] = _NEXT[_c, _VQ, _VE] = True
+    for _p in (_VE, _o, _a):
+        _NEXT[_c, _p, [_M, _o, _a]] = True
+    _SCALAR_BETWEEN[_c, _A, [_M, _a]] = _SCALAR_BETWEEN[_c, _C, [_M, _o]] = True
+_NEXT[1, _M, _KQ] = True
+_NEXT[0, _M, [_VQ, _O, _A]] = True
+_SCALAR_BETWEEN[0, _M, [_M, _a]] = True
+_SCALAR = r"^[ \t\r\n]*(-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity)[ \t\r\n]*$"
+_BLANK = np.zeros(256, np.bool_)
+_BLANK[[32, 9, 10, 13]] = True
+_ESCAPES = np.zeros(256, np.bool_)
+_ESCAPES[[ord(x) for x in '"\\/bfnrtu']] = True
+_HEX = np.zeros(256, np.bool_)
+_HEX[[ord(x) for x in "0123456789abcdefABCDEF"]] = True
+
+
+def _malformed(buf: np.ndarray, off: np.ndarray, pos: np.ndarray, ch: np.ndarray, row: np.ndarray, depth: np.ndarray, escapes: np.ndarray) -> np.ndarray:
+    """Rows whose tokens, of balanced depth, are no JSON. ``escapes`` are the backslashes that escape."""
+    n, bad = len(pos), []
+    if not n:
+        return np.zeros(0, np.int64)
+    delta = _DELTA[ch]
+    # the opener around each comma and of each closer: the last one of its depth
+    level = depth + (delta < 0)
+    marks = np.flatnonzero((delta != 0) | (ch == 44))
+    order = marks[np.argsort(level[marks].astype(np.int16) if level.max() < 32_767 else level[marks], kind="stable")]
+    held = np.maximum.accumulate(np.where(delta[order] == 1, np.arange(len(order)), 0))
+    around = np.zeros(n, np.int64)
+    around[order] = order[held]
+    closers = np.flatnonzero(delta < 0)
+    bad.append(row[closers[ch[closers] != ch[around[closers]] + 2]])
+    in_object = np.zeros(n, np.int64)
+    in_object[marks] = ch[around[marks]] == _OBJ
+    # strings: a key stands after a brace or an object's comma
+    kind = _CLASS[ch]
+    quote = np.flatnonzero(ch == _QUOTE)
+    ends = quote.reshape(-1, 2)  # each row has an even number
+    before = np.maximum(ends[:, 0] - 1, 0)
+    is_key = (ch[before] == _OBJ) | ((ch[before] == 44) & (in_object[before] == 1))
+    kind[ends[:, 0]] = np.where(is_key, _KQ, _VQ)
+    kind[ends[:, 1]] = np.where(is_key, _KE, _VE)
+    # what stands between neighbours
+    solid = np.concatenate([[0], np.cumsum(~_BLANK[buf], dtype=np.int64 if len(buf) > 2**31 - 2 else np.int32)])
+    same = row[1:] == row[:-1]
+    gap = (solid[pos[1:]] - solid[pos[:-1] + 1] > 0) & ~((kind[:-1] == _KQ) | (kind[:-1] == _VQ))
+    fits = np.where(gap, _SCALAR_BETWEEN[in_object[:-1], kind[:-1], kind[1:]], _NEXT[in_object[:-1], kind[:-1], kind[1:]])
+    bad.append(row[:-1][same & ~fits])
+    at = np.flatnonzero(same & gap & fits)
+    literal = _gather(buf, pos[at] + 1, pos[at + 1] - pos[at] - 1)
+    coded = literal.dictionary_encode()
+    good = np.array([re.match(_SCALAR, x.decode("utf8", "replace")) is not None for x in coded.dictionary.to_pylist()] + [False], np.bool_)
+    bad.append(row[at[~good[np.asarray(coded.indices)]]] if len(at) else at)
+    # before the first token and after the last
+    head, tail = np.flatnonzero(np.concatenate([[True], ~same])), np.flatnonzero(np.concatenate([~same, [True]]))
+    r = row[head]
+    bad.append(r[(solid[pos[head]] > solid[off[r]]) | (delta[head] != 1) | (solid[off[r + 1]] > solid[pos[tail] + 1]) | (delta[tail] != -1)])
+    # inside strings
+    if len(escapes):
+        nxt = buf[np.minimum(escapes + 1, len(buf) - 1)]
+        wrong = ~_ESCAPES[nxt]
+        wide = np.flatnonzero(nxt == ord("u"))
+        for i in range(2, 6):
+            wrong[wide] |= ~_HEX[buf[np.minimum(escapes[wide] + i, len(buf) - 1)]]
+        bad.append(np.searchsorted(off, escapes[wrong], "right") - 1)
+    control = np.flatnonzero(buf < 32)
+    if len(control):
+        bad.append(row[ends[:, 0]][np.searchsorted(control, pos[ends[:, 0]]) != np.searchsorted(control, pos[ends[:, 1]])])
+    return np.unique(np.concatenate(bad))
+
+
 def flatten_batch(col: pa.Array, order: Sequence[str] = CHILD_KEYS, fields: Sequence[str] = ()) -> Flat:
     """All JSON objects of a string column, numbered within their record.
 
@@ -90,9 +174,11 @@ def flatten_batch(col: pa.Array, order: Sequence[str] = CHILD_KEYS, fields: Sequ
 
     pos = np.flatnonzero(_LUT[buf])
     back = np.flatnonzero(buf == _BACK)
+    escapes = back
     if len(back):
         starts = np.flatnonzero(np.diff(back, prepend=-2) != 1)
         run = back - back[starts][np.cumsum(np.isin(np.arange(len(back)), starts)) - 1] + 1
+        escapes = back[run % 2 == 1]
         quoted = np.zeros(len(buf) + 1, np.bool_)
         odd = back[run % 2 == 1] + 1
         quoted[odd] = True
@@ -126,6 +212,11 @@ def flatten_batch(col: pa.Array, order: Sequence[str] = CHILD_KEYS, fields: Sequ
 
     ok = readable[row]
     pos, ch, row, depth = pos[ok], ch[ok], row[ok], depth[ok]
+    odd = _malformed(buf, off, pos, ch, row, depth, escapes)
+    if len(odd):
+        readable[odd[~lone[odd]]] = False
+        ok = readable[row]
+        pos, ch, row, depth = pos[ok], ch[ok], row[ok], depth[ok]
     opener = np.flatnonzero(_DELTA[ch] == 1)
     o_depth, o_pos, o_row, is_obj = depth[opener], pos[opener], row[opener], ch[opener] == _OBJ
     total = len(opener)

@@ -46,6 +46,21 @@ def test_dirty_records_match_a_parser():
     assert readable == [read_json(t) is not None for t in DIRTY]
 
 
+MALFORMED = ['{"a":[{"b":1]}}', '{"a" {"b":1}}', '{"a":1,}', "[}", "{]", '{"a":nul}', '{"a":01}', '{"a":1.}', "[1,]", "[,1]", "[1 2]", '{"a":1 "b":2}', '{"a","b"}', '{"a":}', '{:1}', '{1:2}', '["a" "b"]', '["a":1]', '{"a":"b":1}', '["\\q"]', '["\\u12g4"]', '["a\nb"]', "x{}", "{}x", "{},", ",{}", '{"a":[1,{"b":2}}]', "[[],,[]]", "[true false]", '{"a"}', "[-]", "[1e]", "[+1]", '{"a":1,{"b":2}}', "[{}{}]", "[]]", '{"a":"b","c"}', '"{\\"a\\":1,}"', "[NaN,-Infinity,1e5,-0.5E-3]", '["\\u00e9\\/"]', '{"a":\t[ ] , "b" : { } }']
+
+
+def test_malformed_records_are_judged_like_a_parser_does():
+    got, readable = kernel(MALFORMED + DIRTY)
+    assert readable == [read_json(t) is not None for t in MALFORMED + DIRTY]
+    assert got == sorted([(i, *o) for i, t in enumerate(MALFORMED + DIRTY) for o in brute(t)], key=repr)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet='{}[]:,"\\ 1atruenul', max_size=14), min_size=1, max_size=6))
+def test_any_text_is_judged_like_a_parser_does(texts):
+    assert kernel(texts)[1] == [read_json(t) is not None for t in texts]
+
+
 leaf = st.none() | st.booleans() | st.integers(-9, 9) | st.text(max_size=6)
 tree = st.recursive(leaf, lambda x: st.lists(x, max_size=3) | st.dictionaries(st.sampled_from([*CHILD_KEYS, "value", "x", 'q"{']), x, max_size=4), max_leaves=25)
 
