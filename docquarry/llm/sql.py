@@ -55,6 +55,20 @@ SQL: dict[str, str] = {
     sizes as (select page_id, count(*) as n from grams group by 1),
     shared as (select a.page_id as page_id_a, b.page_id as page_id_b, count(*) as both_n from grams a join grams b on a.g = b.g and a.page_id < b.page_id group by all)
     select page_id_a, page_id_b from shared join sizes x on x.page_id = page_id_a join sizes y on y.page_id = page_id_b where both_n * 5 >= (x.n + y.n - both_n) * 3""",
+    "p3_groups": f"""
+    with recursive {_READABLE}, {_STRINGS},
+    texts as (select page_id, flatten(list({_words('s')} order by pos)) as w from strings group by 1),
+    grams as (select distinct page_id, unnest({_grams('w', 3)}) as g from texts where len(w) >= 3),
+    sets as (select page_id, list(g order by g) as gs from grams group by 1),
+    classes as (select page_id, min(page_id) over (partition by gs) as rep from sets),
+    own as (select page_id, g from grams where page_id in (select rep from classes)),
+    sizes as (select page_id, count(*) as n from own group by 1),
+    shared as (select a.page_id as x, b.page_id as y, count(*) as both_n from own a join own b on a.g = b.g and a.page_id <> b.page_id group by all),
+    links as (select x, y from shared join sizes s on s.page_id = x join sizes t on t.page_id = y where both_n * 5 >= (s.n + t.n - both_n) * 3),
+    reach as (select distinct x as a, x as b from links union select r.a, l.y from reach r join links l on l.x = r.b),
+    groups as (select a as rep, min(b) as group_id from reach group by 1), degrees as (select x as rep, count(*) as n from links group by 1)
+    select s.page_id, coalesce(rep, s.page_id) as class_id, coalesce(n, 0) as n_links, coalesce(group_id, rep, s.page_id) as group_id
+    from stored_pages s left join classes c on c.page_id = s.page_id left join degrees using (rep) left join groups using (rep)""",
     "p4_found": f"""
     with {_READABLE}, {_STRINGS},
     body as (select distinct source_id, path, unnest({_words('s')}) as term from strings),
