@@ -83,7 +83,10 @@ def link_schemes(spark: SparkSession, d: str) -> DataFrame:
     return _hrefs(spark, d).groupBy(urls.link_scheme("href").alias("scheme")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""
+    select site, regexp_replace(regexp_replace(lower(array_to_string(list_filter(labels[1:greatest(len(labels) - 1, 1)], lambda x: x not in ('www', 'docs', 'doc')), '-')), '[^a-z0-9._+-]+', '-', 'g'), '^[^a-z0-9]+|-+$', '', 'g')[:64] as proposed
+    from (select distinct lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) as site,
+        string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '.') as labels from raw_pages)""")
 def source_ids_from_urls(spark: SparkSession, d: str) -> DataFrame:
     """Ids proposed for the pages' sites."""
     site = F.concat_ws("://", urls.scheme("url"), urls.host("url"))
@@ -366,7 +369,13 @@ def symbol_search(spark: SparkSession, d: str) -> DataFrame:
     return search.search(ingest.index_of(table(spark, d, "stored_pages")), asked, 50)
 
 
-@query()
+@query(f"""
+    with asked as ({_ASKED_SQL}), said as (select distinct query_id, unnest({_TOKENS_SQL.format("q")}) as w from asked),
+    typed as (select query_id, w[:3] || w[5] || w[4] || w[6:] as typed, case when length(w) <= 6 then 1 else 2 end as far from said where length(w) >= 6),
+    words as (select term, count(distinct doc_id) as df from (select doc_id, unnest({_TOKENS_SQL.format("text")}) as term from documents) group by term),
+    near as (select query_id, typed, term, df, damerau_levenshtein(term, typed) as distance from typed join words on term[:3] = typed[:3] and abs(length(term) - length(typed)) <= far
+        where typed not in (select term from words) and lower(typed) not in ({_STOP_SQL}) and damerau_levenshtein(term, typed) <= far)
+    select query_id, typed, term as meant from near qualify row_number() over (partition by query_id, typed order by distance, df desc, term) = 1""")
 def spelling_corrections(spark: SparkSession, d: str) -> DataFrame:
     """What was meant by query words whose fourth and fifth letters were swapped."""
     words = _asked(spark, d).select("query_id", F.explode(text.default_tokens("q")).alias("w")).distinct()
@@ -432,6 +441,19 @@ def windowed_event_counts(spark: SparkSession, d: str) -> DataFrame:
 
 # Pages ---------------------------------------------------------------------
 
+#: Link targets of the fetched pages, resolved: scripts and comments aside, fragments dropped.
+_LINKS_SQL = r"""
+    with bare as (select distinct regexp_replace(url, '#.*$', '') as url, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<textarea\b.*?</textarea\s*>|<title\b.*?</title\s*>', '', 'g') as h from raw_pages where html is not null),
+    refs as (select url, unnest(regexp_extract_all(h, '(?i)<a\s[^>]*?href=("[^"]*"|''[^'']*'')', 1)) as raw from bare),
+    parts as (select url, regexp_replace(trim(raw[2:-2]), '#.*$', '') as href, regexp_extract(url, '^[^:]+://[^/?#]*') as root, regexp_extract(url, '^[^?#]*/') as folder from refs),
+    edges as (select distinct url as src, case when href = '' then url when href like '/%' then root || href else folder || href end as dst from parts)"""
+
+#: Text strings of the readable bodies, unwrapped if they were encoded twice.
+_TEXTS_SQL = """
+    with once as (select page_id, source_id, path, case when json_type(body) = 'VARCHAR' then json_extract_string(body, '$') else body end as body from stored_pages where json_valid(body)),
+    readable as (select * from once where json_valid(body) and json_type(body) = 'OBJECT'),
+    strings as (select r.page_id, r.source_id, r.path, t.id as nth, json_extract_string(t.value, '$') as s from readable r, json_tree(r.body) t where t.key in ('value', 'code', 'alt') and t.type = 'VARCHAR')"""
+
 _PAGE = {"page_id": "long", "source_id": "string", "path": "string"}
 
 
@@ -440,22 +462,29 @@ def _parsed(spark: SparkSession, d: str) -> DataFrame:
     return pages.parse_pages(table(spark, d, "raw_pages").join(kinds, "source_id", "left"), {"raw_id": "long", "url": "string"}, kind=F.col("kind"))
 
 
+def _addressed(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' addresses, without fragments, and their links."""
+    return _parsed(spark, d).select(F.regexp_replace("url", "#.*$", "").alias("url"), "links")
+
+
 @query()
 def parsed_pages(spark: SparkSession, d: str) -> DataFrame:
     """Fetched pages parsed, normalized and sanitized."""
     return _parsed(spark, d).drop("links")
 
 
-@query()
+@query(_LINKS_SQL + """
+    , ends as (select src as node, 1 as o, 0 as i from edges union all select dst, 0, 1 from edges) select node, sum(o) as n_out, sum(i) as n_in from ends group by node""")
 def link_degrees(spark: SparkSession, d: str) -> DataFrame:
     """Links out of and into every address the pages name."""
-    return graph.degrees(graph.link_edges(_parsed(spark, d), "url", "links"))
+    return graph.degrees(graph.link_edges(_addressed(spark, d), "url", "links"))
 
 
-@query()
+@query(_LINKS_SQL + """
+    select distinct url as node, 1 as depth from bare union all select distinct dst, 2 from edges where dst not in (select url from bare)""")
 def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
     """Pages reached from the fetched ones within three steps."""
-    found = cut(_parsed(spark, d).select("url", "links"))
+    found = cut(_addressed(spark, d))
     return graph.crawl(graph.link_edges(found, "url", "links"), found.select(F.col("url").alias("node")), 3)[0]
 
 
@@ -476,7 +505,15 @@ def page_symbols(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_symbols(table(spark, d, "stored_pages"), _PAGE)
 
 
-@query()
+@query(_TEXTS_SQL + r"""
+    , heads as (select r.page_id, r.source_id, r.path, t.id as nth, cast(json_extract(t.value, '$.level') as integer) as level, json_extract_string(t.value, '$.id') as own, t.value as node
+        from readable r, json_tree(r.body) t where t.type = 'OBJECT' and json_extract_string(t.value, '$.type') = 'heading'),
+    said as (select h.page_id, h.nth, string_agg(json_extract_string(x.value, '$'), '' order by x.id) as s from heads h, json_tree(h.node) x where x.key in ('value', 'code', 'alt') and x.type = 'VARCHAR' group by all),
+    named as (select h.*, trim(regexp_replace(coalesce(s, ''), '[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) as text from heads h left join said using (page_id, nth)),
+    wanted as (select *, coalesce(nullif(own, ''), nullif(regexp_replace(regexp_replace(lower(text), '[\s\x00-\x1f\x7f"''`]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section') as w from named),
+    counted as (select *, row_number() over (partition by page_id, w order by nth) as k from wanted),
+    ranked as (select page_id, source_id, path, level, text, w || case when k > 1 then '-' || k else '' end as id, row_number() over (partition by page_id order by nth) - 1 as ord from counted where level <= 4)
+    select t.*, coalesce((select max(o.ord) from ranked o where o.page_id = t.page_id and o.ord < t.ord and o.level < t.level), -1) as parent from ranked t""")
 def page_outline(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_outline(table(spark, d, "stored_pages"), _PAGE)
 
@@ -514,6 +551,9 @@ def page_snippets(spark: SparkSession, d: str) -> DataFrame:
     return pages.snippets(asked, _PAGE, "terms")
 
 
-@query()
+@query(_TEXTS_SQL + """
+    , whole as (select page_id, source_id, path, lower(string_agg(s, '' order by nth)) as h from strings group by all),
+    found as (select page_id, source_id, path, h, unnest(range(length(h))) as pos from whole where contains(h, 'inlinzo'))
+    select page_id, source_id, path, row_number() over (partition by page_id order by pos) - 1 as ord, pos from found where substr(h, pos + 1, 7) = 'inlinzo'""")
 def find_in_page(spark: SparkSession, d: str) -> DataFrame:
     return pages.find_in_page(table(spark, d, "stored_pages"), _PAGE, "inlinzo")
