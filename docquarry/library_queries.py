@@ -3,6 +3,8 @@ reconciling, retrieval, evaluation, pages."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from docquarry.model.fields import PATH_KINDS
 from docquarry.operators import catalog, detect, evaluation, graph, index, pages, reconcile, search
 from docquarry.plans import ingest
 from docquarry.queries import query
-from docquarry.runtime import cut, table
+from docquarry.runtime import cut, ensure_checkpoint_dir, table
 from docquarry.streaming.ingest import windowed_counts
 
 # Identifiers and URLs ------------------------------------------------------
@@ -345,6 +347,28 @@ def scoped_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.search(_document_index(spark, d), _asked(spark, d), 10, _BODY, F.col("source") == "inlinzo")
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder on the session's shared storage."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/index-{uuid.uuid4().hex}"
+
+
+@query(_BM25_SQL.replace("{scope}", "true"))
+def stored_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same over an index that was written and grew by commits: every document with an even
+    id came first with another text and was replaced, one document was added and deleted."""
+    at, docs = _shared_folder(spark), table(spark, d, "documents").select("doc_id", "source", "text")
+
+    def built(df: DataFrame) -> index.Index:
+        return index.build(df, ["doc_id"], {"body": index.placed_tokens(F.col("text"))}, {"source": F.col("source"), "body_chars": F.length("text")})
+
+    early = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.reverse("text")).otherwise(F.col("text")))
+    extra = spark.createDataFrame([(-1, "x", "finally the mandatory")], docs.schema)
+    index.commit(at, built(early.unionByName(extra)))
+    index.commit(at, built(docs.where("doc_id % 2 = 0")), extra.select("doc_id"))
+    return search.search(index.load_segments(spark, at, ["doc_id"]), _asked(spark, d), 10, _BODY)
+
+
 @query(r"""
     select distinct p.phrase, doc_id from (values ('the mandatory'), ('do not pass'), ('finally the')) p(phrase),
         (select doc_id, ' ' || array_to_string(""" + _TOKENS_SQL.format("text") + """, ' ') || ' ' as t from documents) where contains(t, ' ' || phrase || ' ')""")

@@ -31,6 +31,15 @@ def paged(pages: DataFrame, offset: int = 0, limit: int = PAGE_ROWS) -> DataFram
     return pages.orderBy("source_id", "ordinal", "path").offset(max(0, offset)).limit(min(MOST_ROWS, max(1, limit)))
 
 
+def paged_with_total(pages: DataFrame, offset: int = 0, limit: int = PAGE_ROWS) -> DataFrame:
+    """The same with the number of all pages as ``total`` beside each row."""
+    return paged(pages, offset, limit).withColumn("total", pages.agg(F.count("*")).scalar())
+
+
+def source_exists(sources: DataFrame, source_id: str) -> bool:
+    return bool(sources.where(F.col("id") == source_id).take(1))
+
+
 def page_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("source_id").agg(F.count("*").alias("n_pages"))
 

@@ -67,7 +67,7 @@ def accuracy(df: DataFrame, expected: str, predicted: str, confidence: str, sure
 def class_balance(df: DataFrame, label: str, most: float = 0.5) -> DataFrame:
     """(label, n, share, balanced): no class may hold ``most`` of the rows or more."""
     n = df.groupBy(label).agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.col("n") / F.lit(df.count())).withColumn("balanced", F.col("share") < most)
+    return n.withColumn("share", F.col("n") / n.agg(F.sum("n")).scalar()).withColumn("balanced", F.col("share") < most)
 
 
 def nearest_rank(df: DataFrame, value: str, by: str, shares: Sequence[float]) -> DataFrame:
@@ -81,10 +81,12 @@ def nearest_rank(df: DataFrame, value: str, by: str, shares: Sequence[float]) ->
     return met.groupBy(by).agg(*picks)
 
 
-def golden(got: DataFrame, kept: DataFrame, name: str = "name", value: str = "value") -> DataFrame:
-    """(name, state): pass, mismatch, missing (no golden) or orphan (nothing made it)."""
+def golden(got: DataFrame, kept: DataFrame, name: str = "name", value: str = "value", update: bool = False) -> DataFrame:
+    """(name, state): pass, mismatch, missing (no golden) or orphan (nothing made it). Where goldens
+    are being updated, what was made anew or differs is ``updated``: it is the golden now."""
     a, b = got.select(name, F.col(value).alias("got"), F.lit(True).alias("made")), kept.select(name, F.col(value).alias("want"), F.lit(True).alias("held"))
     state = F.when(F.col("held").isNull(), "missing").when(F.col("made").isNull(), "orphan").when(F.col("got").eqNullSafe(F.col("want")), "pass").otherwise("mismatch")
+    state = F.when(state.isin("missing", "mismatch"), "updated").otherwise(state) if update else state
     return a.join(b, name, "full").select(name, state.alias("state"))
 
 

@@ -1,5 +1,10 @@
 """Inverted index tables: postings, field lengths, statistics.
 
+A stored index can grow by segments: a commit adds the documents of a small index
+and takes out others, and writes nothing of what is held already. A segment counts
+once its list of taken keys is written, which comes last, so a commit that died half
+way is never read.
+
 An index is four DataFrames that can be written as parquet and read again. One
 shuffle builds the postings; lengths need none. Postings are written sorted by
 (field, term), so a lookup skips files by their min and max.
@@ -14,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import code_tokens, default_tokens
+from docquarry.runtime import maybe_broadcast
 
 #: Fields analysed as code, and those a dictionary word may come from.
 CODE_FIELDS = ("code", "symbol", "declarations")
@@ -53,6 +59,55 @@ class Index:
         return Index(tuple(key), *(spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "stats", "docs")))
 
 
+def _segments(spark: SparkSession, path: str) -> list[int]:
+    """The committed segments of a stored index."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/gone")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    done = [s.getPath().getName().removeprefix("segment=") for s in files.listStatus(at) if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(int(x) for x in done if x.isdigit())
+
+
+def commit(path: str, added: Index | None = None, deleted: DataFrame | None = None) -> int:
+    """Add a segment to the index stored at ``path`` (the first one makes it): the documents of
+    ``added`` take the place of those of the same key, those of ``deleted`` (the key, or
+    some of its columns, as a source's id for all its pages) go. Gives the segment's number.
+    One writer at a time."""
+    keyed = added.docs.select(*added.key) if added is not None else None
+    spark = (keyed if keyed is not None else deleted).sparkSession
+    n = max(_segments(spark, path), default=0) + 1
+    if added is not None:
+        added.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/postings/segment={n}")
+        for name in ("lengths", "docs"):
+            getattr(added, name).write.mode("overwrite").parquet(f"{path}/{name}/segment={n}")
+    gone = keyed if deleted is None else deleted if keyed is None else keyed.unionByName(deleted, allowMissingColumns=True)
+    gone.distinct().write.mode("overwrite").parquet(f"{path}/gone/segment={n}")
+    return n
+
+
+def load_segments(spark: SparkSession, path: str, key: Sequence[str] = ("source_id", "path")) -> Index:
+    """The live documents of a stored index: those that no later segment took out."""
+    held = _segments(spark, path)
+
+    def read(name: str) -> DataFrame:
+        return spark.read.option("basePath", f"{path}/{name}").option("mergeSchema", True).parquet(f"{path}/{name}").where(F.col("segment").isin(held))
+
+    gone = read("gone")
+    whole = gone.where(" and ".join(f"`{k}` is not null" for k in key)).groupBy(*key).agg(F.max("segment").alias("__gone"))
+    first = gone.where(f"`{key[-1]}` is null").groupBy(key[0]).agg(F.max("segment").alias("__all")) if len(key) > 1 else None
+
+    def live(df: DataFrame) -> DataFrame:
+        out = df.join(maybe_broadcast(whole), list(key), "left").where(F.col("__gone").isNull() | (F.col("segment") >= F.col("__gone"))).drop("__gone")
+        if first is not None:
+            out = out.join(maybe_broadcast(first), key[0], "left").where(F.col("__all").isNull() | (F.col("segment") >= F.col("__all"))).drop("__all")
+        return out.drop("segment")
+
+    lengths = live(read("lengths"))
+    stats = lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    return Index(tuple(key), live(read("postings")), lengths, stats, live(read("docs")))
+
+
 def _grouped(places: DataFrame, key: Sequence[str]) -> DataFrame:
     return places.groupBy("field", "term", *key).agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("positions"))
 

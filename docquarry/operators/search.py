@@ -138,37 +138,50 @@ def highlight_terms(terms: DataFrame, corrected: DataFrame) -> DataFrame:
     return every.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
-def search(index: Index, queries: DataFrame, limit: int = 10, ranking: Ranking = TUNED, scope: Column | None = None) -> DataFrame:
-    """(query_id, hit_rank, key..., score) of the best ``limit`` documents of each query.
-
-    ``scope`` is a condition on the documents; it is applied before the cut, so a
-    scoped search is never short of hits. Statistics stay those of the whole index.
-    Scores are rounded to SCORE_DECIMALS and ties are broken by the key, so a result
-    doesn't depend on the order of addition. Null and empty queries have no hits.
-    """
+def scores(index: Index, queries: DataFrame, ranking: Ranking = TUNED, scope: Column | None = None) -> DataFrame:
+    """(query_id, key..., stored columns, score) of every document that matches a query: by its
+    terms, its phrases and the corrections of words that stand nowhere. ``scope`` is a
+    condition on the documents; statistics stay those of the whole index."""
     terms, said = cut(query_terms(queries, ranking)), phrases(queries, ranking)
     found = matched(index, terms.select("field", "term").unionByName(said.select("field", "term")))
-    scores = term_scores(index, terms, found).unionByName(phrase_scores(index, said, found)) if said.take(1) else term_scores(index, terms, found)
+    parts = term_scores(index, terms, found).unionByName(phrase_scores(index, said, found)) if said.take(1) else term_scores(index, terms, found)
     unknown = unknown_terms(terms, found) if ranking.corrected and ranking.max_distance else None
     if unknown is not None and unknown.take(1):
         fixed = corrections(index, unknown, ranking.max_distance).withColumnRenamed("typed", "term")
         meant = cut(terms.join(fixed, ["query_id", "term"]).select("query_id", "field", F.col("meant").alias("term"), (F.col("weight") * ranking.corrected).alias("weight")))
-        scores = scores.unionByName(term_scores(index, meant, matched(index, meant)))
+        parts = parts.unionByName(term_scores(index, meant, matched(index, meant)))
     docs = index.docs if scope is None else index.docs.where(scope)
-    size = F.col("body_chars" if "body_chars" in docs.columns else "body_len")
-    total = scores.groupBy("query_id", *index.key).agg(F.sum("score").alias("score")).join(docs, list(index.key))
+    return parts.groupBy("query_id", *index.key).agg(F.sum("score").alias("score")).join(docs, list(index.key))
+
+
+def search(index: Index, queries: DataFrame, limit: int = 10, ranking: Ranking = TUNED, scope: Column | None = None) -> DataFrame:
+    """(query_id, hit_rank, key..., score) of the best ``limit`` documents of each query.
+
+    ``scope`` is applied before the cut, so a scoped search is never short of hits.
+    Scores are rounded to SCORE_DECIMALS and ties are broken by the key, so a result
+    doesn't depend on the order of addition. Null and empty queries have no hits.
+    """
+    total = scores(index, queries, ranking, scope)
+    size = F.col("body_chars" if "body_chars" in total.columns else "body_len")
     ranked = total.withColumn("score", F.round(length_penalty(F.col("score"), size, ranking.pivot, ranking.penalty), SCORE_DECIMALS))
     at = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), *index.key))
     return ranked.withColumn("hit_rank", at).where(F.col("hit_rank") <= max(limit, 1)).select("query_id", "hit_rank", *index.key, "score")
 
 
-def total_hits(index: Index, queries: DataFrame, cap: int = 1000, ranking: Ranking = TUNED) -> DataFrame:
-    """(query_id, total, total_capped): hits of each query, counted up to ``cap``."""
-    terms = cut(query_terms(queries, ranking))
-    n = term_scores(index, terms, matched(index, terms)).groupBy("query_id").agg(F.count("*").alias("n"))
+def total_hits(index: Index, queries: DataFrame, cap: int = 1000, ranking: Ranking = TUNED, scope: Column | None = None) -> DataFrame:
+    """(query_id, total, total_capped): all hits of each query, with phrases, corrections and
+    scope, counted up to ``cap``. A query without hits has no row."""
+    n = scores(index, queries, ranking, scope).groupBy("query_id").agg(F.count("*").alias("n"))
     return n.select("query_id", F.least("n", F.lit(cap)).alias("total"), (F.col("n") >= cap).alias("total_capped"))
 
 
+def with_totals(hits: DataFrame, totals: DataFrame) -> DataFrame:
+    """Hits with their query's ``total`` and whether the hits shown are fewer (``truncated``)."""
+    shown = hits.groupBy("query_id").agg(F.count("*").alias("__shown"))
+    known = totals.join(shown, "query_id").select("query_id", "total", "total_capped", (F.col("__shown") < F.col("total")).alias("truncated"))
+    return hits.join(known, "query_id", "left")
+
+
 def with_source_names(hits: DataFrame, sources: DataFrame) -> DataFrame:
     """Hits with ``source_name``, the id where the source is unknown."""
     names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))

@@ -55,11 +55,30 @@ def process(fetched: DataFrame, kinds: DataFrame | None = None, manifest: DataFr
     return map_rows(met, out, {"body": F.col("body"), "url": F.col("url"), "held": F.col("held")}, {"body": "string"}, make).select(*PAGE_COLUMNS)
 
 
+def _image_urls(body: str | None) -> list[tuple]:
+    """Distinct addresses of a body's images."""
+    tree, out, todo = read_tree(body), {}, []
+    todo = [] if tree is None else [tree]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            if x.get("type") == "image" and isinstance(x.get("src"), str):
+                out[x["src"]] = None
+            todo += [v for v in x.values() if isinstance(v, (dict, list))]
+        else:
+            todo += [v for v in x if isinstance(v, (dict, list))]
+    return [(u,) for u in out]
+
+
 def localize_images(pages: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Pages with their images replaced by stored copies. ``manifest``: source_id, url, name."""
-    own = manifest.where("name is not null").groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("url", "name"))).alias("held"))
+    """Pages with their images replaced by stored copies. ``manifest``: source_id, url, name;
+    of a url listed twice the least name counts. Only the images a page shows reach it, by
+    a join on (source_id, url), so a source's manifest is never in one row."""
+    shown = map_rows(pages, {"source_id": "string", "path": "string"}, {"body": F.col("body")}, {"url": "string"}, _image_urls).distinct()
+    kept = manifest.where("name is not null").groupBy("source_id", "url").agg(F.min("name").alias("name"))
+    own = shown.join(kept, ["source_id", "url"]).groupBy("source_id", "path").agg(F.map_from_entries(F.collect_list(F.struct("url", "name"))).alias("held"))
     rest = [c for c in pages.columns if c != "body"]
-    met = pages.join(own, "source_id", "left").withColumn("held", F.to_json("held"))
+    met = pages.join(own, ["source_id", "path"], "left").withColumn("held", F.to_json("held"))
     types = {c: pages.schema[c].dataType.simpleString() for c in rest}
 
     def make(body: str | None, held: str | None) -> list[tuple]:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators import catalog, pages as page_ops, search as ranked
-from docquarry.operators.index import Index
+from docquarry.operators.index import Index, commit
 from docquarry.plans.ingest import index_of
+from docquarry.runtime import cut
+from docquarry.sources.store import PageStore, write_table
 
 
 class Library:
@@ -23,6 +27,13 @@ class Library:
         hits = ranked.with_source_names(ranked.search(self.index, asked, limit, scope=scope), self.sources)
         return hits.drop("query_id").orderBy("hit_rank")
 
+    def hits(self, text: str, limit: int = 10, source: str | None = None) -> DataFrame:
+        """The same with the number of all hits, and whether they are more than shown."""
+        asked = self.spark.createDataFrame([(0, text)], "query_id long, q string")
+        scope = None if source is None else F.col("source_id") == source
+        shown = ranked.search(self.index, asked, limit, scope=scope)
+        return ranked.with_totals(shown, ranked.total_hits(self.index, asked, scope=scope)).drop("query_id").orderBy("hit_rank")
+
     def suggest(self, text: str) -> DataFrame:
         """(typed, meant) for words that stand nowhere."""
         asked = self.spark.createDataFrame([(0, text)], "query_id long, q string")
@@ -51,3 +62,16 @@ class Library:
 
     def outline(self, source_id: str, path: str) -> DataFrame:
         return page_ops.page_outline(catalog.get_page(self.stored, source_id, path), {"source_id": "string", "path": "string"})
+
+
+def remove_source(spark: SparkSession, source_id: str, index_path: str, store: PageStore, sources: DataFrame, sources_path: str, config_file: str | None = None) -> DataFrame:
+    """Remove a source so that a failure half way leaves nothing that is found but can't be
+    read: first from the index, then its pages, then the catalogue's row, the
+    configuration last. Removing what isn't there is no error. Gives the new catalogue."""
+    commit(index_path, deleted=spark.createDataFrame([(source_id,)], "source_id string"))
+    store.remove(source_id)
+    left = cut(sources.where(F.col("id") != source_id))
+    write_table(left, sources_path)
+    if config_file and os.path.exists(config_file):
+        os.remove(config_file)
+    return left

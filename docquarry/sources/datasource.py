@@ -13,14 +13,14 @@ FILES_PER_TASK = 500
 
 
 class PageFiles(DataSource):
-    """JSON page files, one page each; a file that is no page is left out."""
+    """JSON page files, one page each. A file that is no page is a row of its name and an error."""
 
     @classmethod
     def name(cls) -> str:
         return "docpages"
 
     def schema(self) -> str:
-        return "path string, title string, description string, body string"
+        return "path string, title string, description string, body string, file string, error string"
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ARG002
         return PageFilesReader(self.options["path"])
@@ -44,10 +44,13 @@ class PageFilesReader(DataSourceReader):
             try:
                 with open(name, encoding="utf8") as f:
                     page = json.load(f)
-            except ValueError:
+            except (OSError, ValueError, RecursionError) as e:
+                yield None, None, None, None, name, f"unreadable: {type(e).__name__}"
                 continue
             if isinstance(page, dict) and isinstance(page.get("path"), str):
-                yield page["path"], page.get("title"), page.get("description"), json.dumps(page.get("body"), ensure_ascii=False)
+                yield page["path"], page.get("title"), page.get("description"), json.dumps(page.get("body"), ensure_ascii=False), name, None
+            else:
+                yield None, None, None, None, name, "no page: a path is missing"
 
 
 def register(spark: SparkSession) -> None:

@@ -34,6 +34,12 @@ class PageStore:
         df = self.spark.read.parquet(f"{self.root}/pages")
         return df if source_id is None else df.where(F.col("source_id") == source_id)
 
+    def remove(self, source_id: str) -> bool:
+        """Drop a source's partition; whether there was one."""
+        jvm, name = self.spark.sparkContext._jvm, self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(source_id)
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/pages/source_id={name}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
     def page(self, source_id: str, path: str) -> DataFrame:
         return self.read(source_id).where(F.col("path") == path)
 

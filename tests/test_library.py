@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from docquarry import library_queries, queries  # noqa: F401 - the first registers its queries
 from docquarry.operators import catalog, evaluation, graph, index, reconcile, search
-from docquarry.plans import ingest
-from docquarry.plans.library import Library
+from docquarry.plans import crawl, ingest
+from docquarry.plans.library import Library, remove_source
 from docquarry.sources import addresses, config, fetch, man, robots, store
 from docquarry.sources.datasource import register
 from docquarry.streaming.ingest import deduplicated, reconcile_stream, windowed_counts
@@ -284,7 +284,11 @@ def test_store_and_files(spark, tmp_path):
     (folder / "bad.json").write_text("{")
     assert rows(store.read_page_files(spark, str(folder)).select("path", "title")) == [("p", "T")]
     register(spark)
-    assert rows(spark.read.format("docpages").load(str(folder)).select("path", "body")) == [("p", '{"type": "document", "children": []}')]
+    (folder / "none.json").write_text("[]")
+    read = spark.read.format("docpages").load(str(folder))
+    assert rows(read.where("error is null").select("path", "body")) == [("p", '{"type": "document", "children": []}')]
+    assert sorted(r.error.split(":")[0] for r in read.where("error is not null").collect()) == ["no page", "unreadable"]
+    assert s.remove("a") and not s.remove("a") and rows(s.read().select("source_id")) == [("b",)]
     assert rows(store.to_json_lines(spark.createDataFrame([(1, None)], "a int, b string"))) == [('{"a":1,"b":null}',)]
 
 
@@ -377,6 +381,90 @@ def test_catalog(spark):
     assert rows(catalog.never_pulled(s, p).select("id")) == [("b",), ("c",)]
 
 
+def _small_index(spark, data):
+    docs = spark.createDataFrame(data, "source_id string, path string, text string")
+    return index.build(docs, ["source_id", "path"], {"body": index.placed_tokens(F.col("text"))}, {"body_chars": F.length("text")})
+
+
+def test_commits_replace_and_delete(spark, tmp_path):
+    at, body_only = str(tmp_path / "i"), search.Ranking({"body": 1.0}, max_distance=0)
+    asked = spark.createDataFrame([(1, "apple")], "query_id long, q string")
+
+    def found():
+        now = index.load_segments(spark, at)
+        hits = search.search(now, asked, 10, body_only)
+        return [(r.source_id, r.path) for r in hits.orderBy("hit_rank").collect()], now.docs.count(), now.stats.first().n_docs
+
+    assert index.commit(at, _small_index(spark, [("s", "a", "apple pie"), ("s", "b", "pear"), ("t", "c", "apple")])) == 1
+    assert found() == ([("t", "c"), ("s", "a")], 3, 3)
+    index.commit(at, _small_index(spark, [("s", "b", "apple apple"), ("s", "a", "plum")]))
+    assert found() == ([("s", "b"), ("t", "c")], 3, 3)
+    index.commit(at, deleted=spark.createDataFrame([("s", "b")], "source_id string, path string"))
+    assert found() == ([("t", "c")], 2, 2)
+    index.commit(at, deleted=spark.createDataFrame([("t",)], "source_id string"))
+    assert found() == ([], 1, 1)
+    index.commit(at, _small_index(spark, [("t", "c", "apple")]))
+    assert found() == ([("t", "c")], 2, 2)
+    (tmp_path / "i" / "docs" / "segment=9").mkdir()  # a commit that died is not read
+    assert found()[1] == 2
+
+
+def test_totals_and_truncation(spark):
+    built = _small_index(spark, [("s", str(i), "apple pie" if i % 2 else "apple tart") for i in range(9)])
+    asked = spark.createDataFrame([(1, "apple"), (2, '"apple pie"'), (3, "zebra")], "query_id long, q string")
+    only = search.Ranking({"body": 1.0}, max_distance=0)
+    assert rows(search.total_hits(built, asked, ranking=only)) == [(1, 9, False), (2, 4, False)]
+    assert rows(search.total_hits(built, asked, 5, only, F.col("path") < "4")) == [(1, 4, False), (2, 2, False)]
+    hits = search.with_totals(search.search(built, asked, 4, only), search.total_hits(built, asked, ranking=only))
+    assert {(r.query_id, r.total, r.truncated) for r in hits.collect()} == {(1, 9, True), (2, 4, False)}
+
+
+def test_crawl_site(spark):
+    site = {
+        "/": "<a href='a'>a</a><a href='b#x'>b</a><a href='https://other.org/'>o</a><a href='no/1'>n</a>",
+        "/a": "<a href='c'>c</a><a href='/'>home</a><a href='gone'>g</a>", "/b": "<a href='a'>a</a>", "/c": "<a href='d'>d</a>", "/d": "end", "/start": "<a href='b'>b</a>",
+    }
+
+    def play(url, headers, timeout, most):
+        path = "/" + url.split("/", 3)[3]
+        page = site.get(path)
+        return fetch.Response(404, {}, b"") if page is None else fetch.Response(200, {"content-type": "text/html"}, f"<main>{page}</main>".encode())
+
+    def got(**kw):
+        s = config.Source("x", "X", "generic", url="https://x.org/", exclude=("^/no/",), fetch=config.Fetch(rate=1e9, respect_robots=False), **kw)
+        c = crawl.crawl_site(spark, s, play)
+        return {(r.url.removeprefix("https://x.org"), r.depth) for r in c.pages.collect()}, rows(c.failed.select("url", "status")), c.outcome
+
+    pages, failed, outcome = got(max_depth=3, entry_points=("start", "start#y", "mailto:a@b"))
+    assert pages == {("/", 1), ("/start", 1), ("/a", 2), ("/b", 2), ("/c", 3)} and failed == [("https://x.org/gone", 404)]
+    assert outcome.safe_to_prune and outcome.produced == 5
+    pages, _, outcome = got(max_depth=4, max_pages=2)
+    assert pages == {("/", 1), ("/a", 2)} and outcome.capped and not outcome.safe_to_prune
+    site.clear()
+    pages, _, outcome = got()
+    assert not pages and not outcome.safe_to_prune
+
+
+def test_remove_source(spark, tmp_path):
+    held = store.PageStore(spark, str(tmp_path / "p"))
+    held.write(spark.createDataFrame([("s", "a", "x"), ("t", "a", "x")], "source_id string, path string, body string"))
+    index.commit(str(tmp_path / "i"), _small_index(spark, [("s", "a", "apple"), ("t", "a", "apple")]))
+    (tmp_path / "s.yaml").write_text("x")
+    sources = spark.createDataFrame([("s",), ("t",)], "id string")
+    for _ in range(2):
+        left = remove_source(spark, "s", str(tmp_path / "i"), held, sources, str(tmp_path / "c"), str(tmp_path / "s.yaml"))
+    assert rows(left) == rows(spark.read.parquet(str(tmp_path / "c"))) == [("t",)] and not (tmp_path / "s.yaml").exists()
+    assert rows(held.read().select("source_id")) == [("t",)] and rows(index.load_segments(spark, str(tmp_path / "i")).docs.select("source_id")) == [("t",)]
+
+
+def test_small_views(spark):
+    got, kept = spark.createDataFrame([("a", "1"), ("b", "2")], "name string, value string"), spark.createDataFrame([("a", "1"), ("b", "3"), ("c", "4")], "name string, value string")
+    assert rows(evaluation.golden(got, kept, update=True)) == [("a", "pass"), ("b", "updated"), ("c", "orphan")]
+    p = spark.createDataFrame([("s", i, str(i)) for i in range(7)], "source_id string, ordinal int, path string")
+    assert [(r.ordinal, r.total) for r in catalog.paged_with_total(p, 5, 5).collect()] == [(5, 7), (6, 7)]
+    assert catalog.source_exists(p.withColumnRenamed("source_id", "id"), "s") and not catalog.source_exists(p.withColumnRenamed("source_id", "id"), "x")
+
+
 def test_equal_documents_are_ranked_by_key(spark):
     docs = spark.createDataFrame([(i, "alpha beta gamma delta " + "epsilon " * (i % 3)) for i in range(90)], "doc_id long, text string").repartition(7)
     built = index.build(docs, ["doc_id"], {"body": index.placed_tokens(F.col("text"))}, {"body_chars": F.length("text")})
