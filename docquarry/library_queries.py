@@ -138,7 +138,13 @@ def identifier_parts(spark: SparkSession, d: str) -> DataFrame:
     return found.select("word", F.lower(F.array_join(text.code_parts(F.col("word")), " ")).alias("parts"))
 
 
-@query()
+@query(r"""
+    with found as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from (select doc_id, list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_-]+'), lambda t: t <> '') as ws from documents)),
+    split as (select doc_id, i, w, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(w, '([\p{Ll}\p{N}])(\p{Lu})', '\1_\2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1_\2', 'g'), '[_-]+'), lambda p: p <> '') as ps from found),
+    placed as (select doc_id, w, ps, sum(len(ps)) over (partition by doc_id order by i rows unbounded preceding) - len(ps) as at_no from split),
+    tokens as (select doc_id, lower(w) as token, cast(at_no as integer) as pos, len(ps) as len from placed where len(ps) > 1
+        union all select doc_id, lower(p), cast(at_no + j - 1 as integer), 1 from (select doc_id, at_no, unnest(ps) as p, generate_subscripts(ps, 1) as j from placed))
+    select * from tokens where octet_length(encode(token)) <= 120""")
 def code_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Code tokens of the documents with their positions."""
     return table(spark, d, "documents").select("doc_id", F.inline(text.code_tokens("text")))
@@ -524,6 +530,22 @@ def page_fields(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_fields(table(spark, d, "stored_pages"), _PAGE)
 
 
+@query(_TEXTS_SQL + r"""
+    , nodes as (select r.page_id, t.id as nth, t.fullkey as k, json_extract_string(t.value, '$.type') as kind, t.value as n from readable r, json_tree(r.body) t where t.type = 'OBJECT' and json_extract_string(t.value, '$.type') is not null),
+    heads as (select page_id, k, nth from nodes where kind = 'heading'),
+    inside as (select n.page_id, n.nth, h.nth as head from nodes n join heads h on h.page_id = n.page_id and starts_with(n.k, h.k || '.')),
+    labels as (select i.page_id, i.head, trim(string_agg(x, ' ' order by nth)) as label from inside i join (select page_id, nth, json_extract_string(n, case kind when 'text' then '$.value' else '$.code' end) as x from nodes where kind in ('text', 'inline_code')) p using (page_id, nth) where x <> '' group by all),
+    headers as (select page_id, string_agg(label, chr(10) order by head) as headers from labels where label <> '' group by 1),
+    said as (select page_id, nth, kind, case kind when 'text' then json_extract_string(n, '$.value') when 'image' then json_extract_string(n, '$.alt') when 'link' then json_extract_string(n, '$.title')
+            when 'admonition' then concat_ws(' ', nullif(json_extract_string(n, '$.kind'), ''), nullif(json_extract_string(n, '$.title'), '')) end as x, json_extract_string(n, '$.code') as c
+        from nodes where (page_id, nth) not in (select (page_id, nth) from inside)),
+    bodies as (select page_id, string_agg(x, ' ' order by nth) filter (x <> '') as body_text, string_agg(c, ' ' order by nth) filter (kind in ('code_block', 'inline_code') and c <> '') as code from said group by 1)
+    select r.page_id, coalesce(headers, '') as headers, coalesce(body_text, '') as body_text, coalesce(code, '') as code from readable r left join headers using (page_id) left join bodies using (page_id)""")
+def page_text_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The searched texts of each page: headings (a line each), body and code."""
+    return pages.page_fields(table(spark, d, "stored_pages"), _PAGE).select("page_id", F.array_join("headers", "\n").alias("headers"), "body_text", "code")
+
+
 @query()
 def page_symbols(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_symbols(table(spark, d, "stored_pages"), _PAGE)
