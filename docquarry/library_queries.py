@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import ids, text, urls
 from docquarry.model.fields import PATH_KINDS
 from docquarry.operators import catalog, detect, evaluation, graph, index, pages, reconcile, search
+from docquarry.operators.keychunks import number_rows
 from docquarry.plans import ingest
 from docquarry.queries import query
 from docquarry.runtime import cut, ensure_checkpoint_dir, table
@@ -215,10 +216,11 @@ def list_sources_nocase(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select source_id, path, ordinal, row_number() over (partition by source_id order by ordinal, path, fetched_at, content_hash) as place from pages where snapshot_no = 5")
 def list_pages_ordered(spark: SparkSession, d: str) -> DataFrame:
-    """The pages of the latest snapshot in their order."""
+    """The pages of the latest snapshot in their order. A few sources hold most pages, so
+    rows are numbered by offsets and no task holds a whole source."""
     latest = _last_two(spark, d)[0]
-    order = W.partitionBy("source_id").orderBy("ordinal", "path", "fetched_at", "content_hash")
-    return table(spark, d, "pages").where(F.col("snapshot_no") == F.lit(latest).cast("int")).select("source_id", "path", "ordinal", F.row_number().over(order).alias("place"))
+    rows = table(spark, d, "pages").where(F.col("snapshot_no") == F.lit(latest).cast("int"))
+    return number_rows(rows, "source_id", ["ordinal", "path", "fetched_at", "content_hash"]).select("source_id", "path", "ordinal", (F.col("row_no") + 1).alias("place"))
 
 
 @query("select source_id, ordinal, path from pages order by source_id, ordinal, path limit 200 offset 400")

@@ -83,7 +83,7 @@ def _sorted_rows(df: DataFrame, key: str, order: Sequence[str], keep: Sequence[s
     by = ["__key", *[f"__o{i}" for i in range(len(order))]]
     rows = df.select(*cols).withColumn("__id", F.monotonically_increasing_id())
     # The row id splits even a run of equal rows over several partitions.
-    return cut(rows.repartitionByRange(shuffle_parts(df.sparkSession), *by, "__id").sortWithinPartitions(*by, "__id").drop("__id"))
+    return cut(rows.repartitionByRange(shuffle_parts(rows), *by, "__id").sortWithinPartitions(*by, "__id").drop("__id"))
 
 
 def number_rows(df: DataFrame, key: str, order: Sequence[str], keep: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -70,5 +70,14 @@ def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: in
     return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of a partition where the number of partitions is chosen here.
+PARTITION_BYTES = 128 << 20
+
+
+def shuffle_parts(df: DataFrame) -> int:
+    """Partitions for a shuffle of ``df`` whose number AQE can't raise: those of the session,
+    or more where the rows, as the optimizer estimates them, need more."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # an estimate of unknown input is the greatest long, and says nothing
+    return wanted if size >= 2**62 else max(wanted, -(-size // PARTITION_BYTES))
