@@ -6,8 +6,9 @@ once its list of taken keys is written, which comes last, so a commit that died
 way is never read.
 
 An index is four DataFrames that can be written as parquet and read again. One
-shuffle builds the postings; lengths need none. Postings are written sorted by
-(field, term), so a lookup skips files by their min and max.
+shuffle builds the postings; lengths need none. Every file of postings is sorted by
+(field, term), so a lookup of few terms reads only the pages of each file that may hold
+them. Files are spread by the whole key, so a term of every document fills no file alone.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from docquarry.runtime import maybe_broadcast
 #: Fields analysed as code, and those a dictionary word may come from.
 CODE_FIELDS = ("code", "symbol", "declarations")
 DICTIONARY_FIELDS = ("title", "headers", "body")
+#: Terms up to which a lookup in a stored index is also a filter of the scan.
+PUSHED_TERMS = 1000
 #: Positions between two headings, so that no phrase spans them.
 HEADING_GAP = 100
 
@@ -45,12 +48,16 @@ class Index:
         """Postings of the distinct (field, term) rows of ``terms``. In an index that isn't
         stored only the tokens asked for are grouped."""
         if self.places is None:
-            return self.postings.join(terms, ["field", "term"])
+            few = terms.limit(PUSHED_TERMS + 1).collect()
+            named = self.postings
+            if len(few) <= PUSHED_TERMS:  # a filter that reaches the scan
+                named = named.where(F.col("term").isin(sorted({r.term for r in few})) & F.col("field").isin(sorted({r.field for r in few})))
+            return named.join(terms, ["field", "term"])
         return _grouped(self.places.join(terms, ["field", "term"]), self.key)
 
     def save(self, path: str) -> None:
         """Write all tables, replacing older ones."""
-        self.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/postings")
+        _by_term(self.postings).write.mode("overwrite").parquet(f"{path}/postings")
         for name in ("lengths", "stats", "docs"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -78,7 +85,7 @@ def commit(path: str, added: Index | None = None, deleted: DataFrame | None = No
     spark = (keyed if keyed is not None else deleted).sparkSession
     n = max(_segments(spark, path), default=0) + 1
     if added is not None:
-        added.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/postings/segment={n}")
+        _by_term(added.postings).write.mode("overwrite").parquet(f"{path}/postings/segment={n}")
         for name in ("lengths", "docs"):
             getattr(added, name).write.mode("overwrite").parquet(f"{path}/{name}/segment={n}")
     gone = keyed if deleted is None else deleted if keyed is None else keyed.unionByName(deleted, allowMissingColumns=True)
@@ -108,6 +115,12 @@ def load_segments(spark: SparkSession, path: str, key: Sequence[str] = ("source_
     return Index(tuple(key), live(read("postings")), lengths, stats, live(read("docs")))
 
 
+def _by_term(postings: DataFrame) -> DataFrame:
+    """Postings as they are written: where the grouping left them, sorted. No second shuffle,
+    and no sampling that would group them twice."""
+    return postings.sortWithinPartitions("field", "term")
+
+
 def _grouped(places: DataFrame, key: Sequence[str]) -> DataFrame:
     return places.groupBy("field", "term", *key).agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
