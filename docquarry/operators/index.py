@@ -5,17 +5,20 @@ and takes out others, and writes nothing of what is held already. A segment coun
 once its list of taken keys is written, which comes last, so a commit that died half
 way is never read.
 
-An index is four DataFrames that can be written as parquet and read again. One
-shuffle builds the postings; lengths need none. Every file of postings is sorted by
+An index is four DataFrames that can be written as parquet and read again. A document's
+postings are grouped where its tokens are, by one sort of an Arrow batch, so building
+needs no shuffle. Every file of postings is sorted by
 (field, term), so a lookup of few terms reads only the pages of each file that may hold
-them. Files are spread by the whole key, so a term of every document fills no file alone.
+them. Files hold documents, not terms, so a term of every document fills no file alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,9 +118,43 @@ def load_segments(spark: SparkSession, path: str, key: Sequence[str] = ("source_
     return Index(tuple(key), live(read("postings")), lengths, stats, live(read("docs")))
 
 
+#: Documents whose postings are grouped at once.
+_STEP = 1024
+
+
+def _postings(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """field, term, key..., tf, len and positions of rows (field, key..., tokens): the tokens of a
+    batch are sorted by (row, term, position), and every run is a posting."""
+    shape = ", ".join(["field string", "term string", *(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key), "tf int", "len int", "positions array<int>"])
+    names = ["field", "term", *key, "tf", "len", "positions"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, _STEP):
+                b = whole.slice(start, _STEP)
+                tokens = b.column("tokens")
+                off = np.asarray(tokens.offsets)
+                items = tokens.values.slice(off[0], off[-1] - off[0])
+                sizes = np.diff(off)
+                coded = items.field("token").dictionary_encode()
+                row, code, pos = np.repeat(np.arange(b.num_rows), sizes), np.asarray(coded.indices).astype(np.int64), np.asarray(items.field("pos"))
+                group = row * max(1, len(coded.dictionary)) + code
+                order = np.lexsort((pos, group))
+                group, pos = group[order], pos[order]
+                first = np.flatnonzero(np.diff(group, prepend=-1))
+                own = row[order[first]]
+                ends = np.append(first, len(group)).astype(np.int32)
+                at = pa.array(own)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("field").take(at), coded.dictionary.take(pa.array(code[order[first]])), *(b.column(k).take(at) for k in key), pa.array(np.diff(ends)), pa.array(sizes[own].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(pos, pa.int32()))], names
+                )
+
+    return rows.select("field", *key, "tokens").mapInArrow(run, shape)
+
+
 def _by_term(postings: DataFrame) -> DataFrame:
-    """Postings as they are written: where the grouping left them, sorted. No second shuffle,
-    and no sampling that would group them twice."""
+    """Postings as they are written: where the documents are, sorted. No shuffle, and no
+    sampling that would group them twice."""
     return postings.sortWithinPartitions("field", "term")
 
 
@@ -137,7 +174,8 @@ def placed_headings(headings: Column) -> Column:
 
 def build(df: DataFrame, key: Sequence[str], fields: dict[str, Column], stored: dict[str, Column] | None = None, body: str = "body") -> Index:
     """Index the (token, pos, len) arrays of ``fields``. Null arrays count as empty;
-    documents without tokens have length 0; keys should be distinct."""
+    documents without tokens have length 0; keys should be distinct (rows of one key are
+    postings of their own)."""
     empty = F.array().cast("array<struct<token:string,pos:int,len:int>>")
     per_field = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(c, empty).alias("tokens")) for n, c in fields.items()])).alias("f")
     rows = df.select(*key, per_field).select(*key, "f.field", "f.tokens")
@@ -145,7 +183,7 @@ def build(df: DataFrame, key: Sequence[str], fields: dict[str, Column], stored:
     places = rows.select("field", *key, F.size("tokens").alias("len"), F.explode("tokens").alias("t")).select("field", *key, "len", F.col("t.token").alias("term"), F.col("t.pos").alias("pos"))
     stats = lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     docs = df.select(*key, F.size(F.coalesce(fields.get(body, empty), empty)).alias("body_len"), *[c.alias(n) for n, c in (stored or {}).items()])
-    return Index(tuple(key), _grouped(places, key), lengths, stats, docs, places)
+    return Index(tuple(key), _postings(rows, key), lengths, stats, docs, places)
 
 
 def build_pages(pages: DataFrame) -> Index:
