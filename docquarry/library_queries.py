@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import ids, text, urls
 from docquarry.model.fields import PATH_KINDS
+from docquarry.model.fields import symbol_of_path as symbol_of
 from docquarry.operators import catalog, detect, evaluation, graph, index, pages, reconcile, search
 from docquarry.operators.keychunks import number_rows
 from docquarry.plans import ingest
@@ -113,10 +114,10 @@ def document_length(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(text.default_tokens("text")).alias("n"))
 
 
-_PLAIN_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(' ' || array_to_string(list_filter(regexp_split_to_array(translate(text, '+-!():^[]{}~*?\\/&|<>=', repeat(' ', 21)), '\\s+'), lambda w: w <> ''), ' ') || ' ', ' AND ', ' and ', 'g'), ' OR ', ' or ', 'g'), ' NOT ', ' not ', 'g'), ' IN ', ' in ', 'g'))"
+_PLAIN_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(' ' || array_to_string(list_filter(regexp_split_to_array(translate(case when (length(text) - length(replace(text, chr(34), ''))) % 2 = 0 then text else replace(text, chr(34), ' ') end, '+-!():^[]{}~*?\\/&|<>=', repeat(' ', 21)), '\\s+'), lambda w: w <> ''), ' ') || ' ', ' AND ', ' and ', 'g'), ' OR ', ' or ', 'g'), ' NOT ', ' not ', 'g'), ' IN ', ' in ', 'g'))"
 
 
-@query(f"select item_id, {_PLAIN_SQL} as q from eval_items where text not like '%\"%'")
+@query(f"select item_id, {_PLAIN_SQL} as q from eval_items")
 def plain_text_query(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", text.plain_text_query("text").alias("q"))
 
@@ -157,11 +158,8 @@ def code_tokens(spark: SparkSession, d: str) -> DataFrame:
         from (select distinct path, string_split(regexp_replace(list_last(string_split(path, '/')), '\\.html$', ''), '.') as parts from hits))""")
 def symbol_of_path(spark: SparkSession, d: str) -> DataFrame:
     """The symbol a file name declares."""
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.html$", "")
-    parts = table(spark, d, "hits").select("path").distinct().select("path", F.split(stem, r"\.").alias("parts"))
-    kind = F.create_map(*[F.lit(x) for kv in PATH_KINDS.items() for x in kv])[F.col("parts")[0]]
-    named = (F.size("parts") == 2) & (F.col("parts")[1] != "")
-    return parts.select("path", F.when(named & kind.isNotNull(), F.col("parts")[1]).alias("symbol"), F.when(named, kind).alias("kind"))
+    paths = table(spark, d, "hits").select("path").distinct()
+    return pages.map_rows(paths, {"path": "string"}, {"path": F.col("path")}, {"symbol": "string", "kind": "string"}, lambda p: [(symbol_of(p or "") or (None, None))])
 
 
 @query(r"""
@@ -214,7 +212,7 @@ def list_sources_nocase(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sources").select("id", "name", "category", F.row_number().over(order).alias("place"))
 
 
-@query("select source_id, path, ordinal, row_number() over (partition by source_id order by ordinal, path, fetched_at, content_hash) as place from pages where snapshot_no = 5")
+@query("select source_id, path, ordinal, row_number() over (partition by source_id order by ordinal, path, fetched_at, content_hash) as place from pages where snapshot_no = (select max(snapshot_no) from pages)")
 def list_pages_ordered(spark: SparkSession, d: str) -> DataFrame:
     """The pages of the latest snapshot in their order. A few sources hold most pages, so
     rows are numbered by offsets and no task holds a whole source."""
@@ -259,9 +257,10 @@ def sync_due(spark: SparkSession, d: str) -> DataFrame:
 # Reconciling ---------------------------------------------------------------
 
 _LATEST_SQL = """
-    with one as (select snapshot_no, source_id, regexp_replace(path, '^/', '') as path, max({'t': fetched_at, 'h': regexp_replace(lower(content_hash), '^sha256:', '')}).h as h
-        from pages where snapshot_no in (4, 5) group by all),
-    old as (select * from one where snapshot_no = 4), new as (select * from one where snapshot_no = 5)"""
+    with no as (select snapshot_no as n, row_number() over (order by snapshot_no desc) as back from (select distinct snapshot_no from pages where snapshot_no is not null)),
+    one as (select snapshot_no, source_id, regexp_replace(path, '^/', '') as path, max({'t': fetched_at, 'h': regexp_replace(lower(content_hash), '^sha256:', '')}).h as h
+        from pages group by all),
+    old as (select * from one where snapshot_no in (select n from no where back = 2)), new as (select * from one where snapshot_no in (select n from no where back = 1))"""
 
 
 def _last_two(spark: SparkSession, d: str) -> tuple[int | None, int | None]:
