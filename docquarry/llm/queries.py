@@ -33,7 +33,11 @@ def body_words(body: str | None) -> list[str] | None:
 
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every occurrence of a line repeated excessively within its source."""
+    """Every occurrence of a line repeated excessively within its source.
+
+    Copies collapse to one cluster, which counts with its distinct paths, as the task
+    defines a case; it sets no limit on days.
+    """
     cases = repeatedlines.repeated_line_cases(table(spark, d, "stored_pages"), "page_id", "source_id", F.xxhash64("path"), "body")
     return cases.select(F.col("doc_id").alias("page_id"), "block_no")
 

@@ -1,11 +1,11 @@
 """Lines repeated across one source's documents.
 
-Duplicate documents are collapsed first: a line counts once per document cluster,
-and optionally over publication dates. A cluster is what the caller names (the path,
-where a page delivered several times is to be one document), or else the documents of
-equal lines in equal order, so that an article republished under many paths counts
-once. Only then are lines compared with the number of clusters of their source; a
-line may also have to come on a number of days.
+Duplicate documents are collapsed first: documents of equal lines in equal order are
+one cluster, and a line counts once per cluster, optionally over publication dates.
+Only then are lines compared with the number of clusters of their source; a line may
+also have to come on a number of days. Where the caller names places (paths) and wants
+lines by distinct places, a cluster counts with the places it was published at, and a
+place that was delivered with several contents still counts once.
 
 Counting is a map-side combined distinct on (source, line, cluster), so one
 source or one line holding a third of all rows is spread by the cluster. Lines
@@ -54,12 +54,11 @@ def copy_key(keys: list[int]) -> int:
     return (xxhash.xxh3_64_intdigest(np.array(keys, np.int64).tobytes()) ^ (1 << 63)) - (1 << 63)
 
 
-def keyed_lines(df: DataFrame, doc_id: str, source: str, cluster: Column | None, body: str) -> DataFrame:
+def keyed_lines(df: DataFrame, doc_id: str, source: str, place: Column | None, body: str) -> DataFrame:
     """One row per line with letters (block_no, line_key) of each readable document,
     and one with null block_no and line_key that stands for the document itself.
 
-    Without a ``cluster`` documents of equal lines in equal order are one."""
-    copies = cluster is None
+    Documents of equal lines in equal order have one ``cluster``, at whatever ``place``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,14 +77,12 @@ def keyed_lines(df: DataFrame, doc_id: str, source: str, cluster: Column | None,
                         at.append(i)
                         block.append(no)
                         key.append(k)
-                if copies:
-                    copy += [copy_key(key[start + 1 :])] * (len(key) - start)
+                copy += [copy_key(key[start + 1 :])] * (len(key) - start)
             rows = pa.array(at, pa.int32())
-            clusters = pa.array(copy, pa.int64()) if copies else b.column("cluster").take(rows)
-            yield pa.RecordBatch.from_arrays([*[b.column(c).take(rows) for c in ("doc_id", "source")], clusters, pa.array(block, pa.int32()), pa.array(key, pa.int64())], ["doc_id", "source", "cluster", "block_no", "line_key"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(rows) for c in ("doc_id", "source", "place")], pa.array(copy, pa.int64()), pa.array(block, pa.int32()), pa.array(key, pa.int64())], ["doc_id", "source", "place", "cluster", "block_no", "line_key"])
 
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), (F.lit(None) if cluster is None else cluster).cast("long").alias("cluster"), F.col(body).alias("body"))
-    return rows.mapInArrow(run, "doc_id long, source string, cluster long, block_no int, line_key long")
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), (F.lit(None) if place is None else place).cast("long").alias("place"), F.col(body).alias("body"))
+    return rows.mapInArrow(run, "doc_id long, source string, place long, cluster long, block_no int, line_key long")
 
 
 def line_counts(lines: DataFrame, dates: bool = False) -> DataFrame:
@@ -100,33 +97,54 @@ def line_counts(lines: DataFrame, dates: bool = False) -> DataFrame:
     return per_day.groupBy("source", "line_key").agg(F.sum("n").alias("n_clusters"), F.count("date").alias("n_dates"))
 
 
+def place_counts(lines: DataFrame) -> DataFrame:
+    """source, line_key, n_places: the distinct places of the clusters that hold the line;
+    the rows of null line_key hold the source's own number.
+
+    ``lines`` is read twice. A place belongs to the set of clusters it was delivered with,
+    nearly always one. The sets part the places, so a line's places are the sum over the
+    sets it occurs in; it is repeated per set of its cluster, at most per place.
+    """
+    at = lines.where("line_key is null").select("source", "place", "cluster").distinct()
+    sets = at.groupBy(F.col("source").alias("__s"), F.col("place").alias("__p")).agg(F.expr("bit_xor(xxhash64(cluster))").alias("held"))
+    met = at.join(sets, F.col("source").eqNullSafe(F.col("__s")) & F.col("place").eqNullSafe(F.col("__p")))
+    sizes = met.groupBy(F.col("source").alias("__s"), F.col("cluster").alias("__c"), "held").agg(F.count("*").alias("n"))
+    once = lines.select("source", "line_key", "cluster").distinct()
+    in_sets = once.join(sizes, (F.col("cluster") == F.col("__c")) & F.col("source").eqNullSafe(F.col("__s")))
+    # a line in several clusters of one set: the set's places once
+    return in_sets.groupBy("source", "line_key", "held").agg(F.max("n").alias("n")).groupBy("source", "line_key").agg(F.sum("n").alias("n_places"))
+
+
 def excessive(counts: DataFrame, min_clusters: int = MIN_CLUSTERS, min_share: float = MIN_SHARE, min_dates: int = MIN_DATES) -> DataFrame:
     """The lines of ``counts`` that are repeated excessively, with their source's total.
-    Days count where ``counts`` has them; lines without any known day aren't on several."""
+    Days count where ``counts`` has them; lines without any known day aren't on several.
+    The limits are on places where ``counts`` has those."""
+    n = "n_places" if "n_places" in counts.columns else "n_clusters"
     if "n_dates" in counts.columns:
         counts = counts.where(F.col("line_key").isNull() | (F.col("n_dates") >= min_dates))
-    kept = cut(counts.where(F.col("line_key").isNull() | (F.col("n_clusters") >= min_clusters)))
-    totals = kept.where("line_key is null").select(F.col("source").alias("__s"), F.col("n_clusters").alias("n_total"))
+    kept = cut(counts.where(F.col("line_key").isNull() | (F.col(n) >= min_clusters)))
+    totals = kept.where("line_key is null").select(F.col("source").alias("__s"), F.col(n).alias("n_total"))
     lines = kept.where("line_key is not null").join(totals, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     # min_share as a ratio of whole numbers: no rounding at the limit
-    return lines.where(F.col("n_clusters") * 1_000_000 >= F.col("n_total") * F.lit(round(min_share * 1_000_000)))
+    return lines.where(F.col(n) * 1_000_000 >= F.col("n_total") * F.lit(round(min_share * 1_000_000)))
 
 
-def repeated_line_cases(df: DataFrame, doc_id: str, source: str, cluster: Column, body: str, min_clusters: int = MIN_CLUSTERS, min_share: float = MIN_SHARE) -> DataFrame:
-    """Every occurrence (doc_id, block_no) of an excessively repeated line."""
-    lines = cut(keyed_lines(df, doc_id, source, cluster, body))
-    bad = cut(excessive(line_counts(lines), min_clusters, min_share).select(F.col("source").alias("__s"), F.col("line_key").alias("__k")))
+def repeated_line_cases(df: DataFrame, doc_id: str, source: str, place: Column | None, body: str, min_clusters: int = MIN_CLUSTERS, min_share: float = MIN_SHARE) -> DataFrame:
+    """Every occurrence (doc_id, block_no) of an excessively repeated line: by the places of
+    its clusters, or by the clusters alone without a ``place``."""
+    lines = cut(keyed_lines(df, doc_id, source, place, body))
+    bad = cut(excessive(line_counts(lines) if place is None else place_counts(lines), min_clusters, min_share).select(F.col("source").alias("__s"), F.col("line_key").alias("__k")))
     hit = lines.where("block_no is not null").join(maybe_broadcast(bad), (F.col("line_key") == F.col("__k")) & F.col("source").eqNullSafe(F.col("__s")))
     return hit.select("doc_id", "block_no")
 
 
-def without_repeated_lines(df: DataFrame, doc_id: str, source: str, cluster: Column, body: str, min_clusters: int = MIN_CLUSTERS, min_share: float = MIN_SHARE) -> DataFrame:
+def without_repeated_lines(df: DataFrame, doc_id: str, source: str, place: Column | None, body: str, min_clusters: int = MIN_CLUSTERS, min_share: float = MIN_SHARE) -> DataFrame:
     """Each readable document's text without its source's excessive lines, and how many went.
 
     A source's excessive lines are one bounded array; documents meet it by source.
     """
-    lines = keyed_lines(df, doc_id, source, cluster, body)
-    bad = excessive(line_counts(lines), min_clusters, min_share).groupBy(F.col("source").alias("__s")).agg(F.collect_list("line_key").alias("bad"))
+    lines = cut(keyed_lines(df, doc_id, source, place, body).select("source", "place", "cluster", "line_key"))
+    bad = excessive(line_counts(lines) if place is None else place_counts(lines), min_clusters, min_share).groupBy(F.col("source").alias("__s")).agg(F.collect_list("line_key").alias("bad"))
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), F.col(body).alias("body"))
     met = docs.join(maybe_broadcast(cut(bad), 10_000), F.col("source").eqNullSafe(F.col("__s")), "left").select("doc_id", "body", "bad")
 

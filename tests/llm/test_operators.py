@@ -83,6 +83,34 @@ def test_republished_articles_and_single_days(spark):
     assert by_path.where("doc_id < 20").count() == 24  # eight paths, where the path is the document
 
 
+def test_copies_collapse_before_their_paths_count(spark):
+    """One article at many paths is counted once, with its paths; a path delivered with several contents is one."""
+    r, data = random.Random(7), []
+    texts = [[f"own {chr(97 + i)}", *r.sample(["menu", "footer", "share this", "long read", "by nobody"], r.randrange(4))] for i in range(12)] + [["12", ""]]
+    for i in range(160):
+        text = body(*r.choice(texts[i % 3 :: 3]))
+        path = None if i % 31 == 0 else f"p{r.randrange(50)}"
+        data.append((i, [None, "s", "t"][i % 3], path, r.choice([text, text, json.dumps(text), json.dumps(json.loads(text), indent=1)])))
+    df = spark.createDataFrame(data, "page_id long, source_id string, path string, body string")
+    lines = repeatedlines.keyed_lines(df, "page_id", "source_id", F.xxhash64("path"), "body").cache()
+    contents, places, held, occ = set(), collections.defaultdict(set), collections.defaultdict(set), []
+    for i, s, p, b in data:
+        keys = [repeatedlines.line_key(x) for x in repeatedlines.body_lines(b)]
+        content = tuple(k for k in keys if k is not None)
+        contents.add(content)
+        for no, k in [(None, None), *enumerate(keys)]:
+            if no is None or k is not None:
+                places[s, k].add(p)
+                held[s, k].add(content)
+                occ.append((i, no, s, k))
+    assert lines.select("cluster").distinct().count() == len(contents) <= 13
+    assert rows(repeatedlines.place_counts(lines)) == sorted(((*x, len(v)) for x, v in places.items()), key=repr)
+    for place, n, least in ((F.xxhash64("path"), places, 20), (None, held, 2)):
+        exp = [(i, no) for i, no, s, k in occ if k is not None and len(n[s, k]) >= least and 2 * len(n[s, k]) >= len(n[s, None])]
+        got = repeatedlines.repeated_line_cases(df, "page_id", "source_id", place, "body", least, 0.5)
+        assert rows(got) == sorted(exp, key=repr) and 0 < len(exp) < len(occ) - len(data)
+
+
 # Near duplicates
 
 
